@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framespark.llm.pieces import found_pauses, piece_samples, pieces
 from framespark.llm.splits import grouped_splits, shared_pairs
 from framespark.sources.tables import table
 
@@ -14,9 +15,24 @@ def p1_splits(spark, d):
     return grouped_splits(table(spark, d, "utterances"))[0]
 
 
+def p4_found(spark, d):
+    return found_pauses(table(spark, d, "signals")).distinct()
+
+
+def p4_pieces(spark, d):
+    return pieces(table(spark, d, "signals"), keep=("audio_file",)).distinct()
+
+
+def p4_samples(spark, d):
+    return piece_samples(table(spark, d, "signals"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p4_samples": p4_samples,
 }
 
 ORACLE: dict[str, str] = {}
