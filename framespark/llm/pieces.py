@@ -19,7 +19,7 @@ LIMIT_S, OVERLAP_S, PAUSE_S = 4.0, 0.2, 0.25
 #: Letters: the longest click, and the shortest quiet on either side of one, in seconds.
 CLICK_LETTERS, CALM_S = 5, 0.02
 #: Background: the window in which its scatter is sought; how many scatters it may reach.
-WINDOW_S, REACH = 0.06, 4.5
+WINDOW_S, REACH = 0.06, 5.0
 #: One step of the samples by dtype.
 STEP = {"int16": 1.0, "int32": 1.0, "float32": 2.0**-15, "float64": 2.0**-15}
 
@@ -43,7 +43,7 @@ def letters(x: np.ndarray, rate: int, dtype: str | None) -> str:
     least = scatter.min()
     loud = np.percentile(scatter, 90)
     step = STEP.get(dtype or "", 2.0**-15)
-    near = np.flatnonzero(scatter <= max(1.6 * least, 0.5 * step))
+    near = np.flatnonzero(scatter <= max(2.2 * least, 0.5 * step))
     inside = np.zeros(n + 1, np.int32)
     np.add.at(inside, near, 1)
     np.add.at(inside, near + k, -1)
@@ -85,7 +85,8 @@ def lettered(signals: DataFrame, key: str, keep: tuple[str, ...] = (), longer_th
 
 def _calm(rate: Column) -> Column:
     least = F.greatest(F.ceil(rate * CALM_S), F.lit(2)).cast("int").cast("string")
-    return F.concat(F.lit("q{"), least, F.lit(f",}}+(?:s{{1,{CLICK_LETTERS}}}+q{{"), least, F.lit(",}+)*+"))
+    # a single letter or two may be the background's own tail, so little quiet is asked for after those
+    return F.concat(F.lit("q{"), least, F.lit(f",}}+(?:s{{1,2}}+q{{3,}}+|s{{1,{CLICK_LETTERS}}}+q{{"), least, F.lit(",}+)*+"))
 
 
 def quiet(text: DataFrame) -> DataFrame:
