@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from framespark.llm.bpe import count_tokens, encode
+from framespark.llm.packing import container_use, pack_documents
 from framespark.llm.pieces import found_pauses, piece_samples, pieces
 from framespark.llm.splits import grouped_splits, shared_pairs
 from framespark.sources.tables import table
@@ -27,12 +29,32 @@ def p4_samples(spark, d):
     return piece_samples(table(spark, d, "signals"))
 
 
+def p6_ids(spark, d):
+    return encode(table(spark, d, "documents"))
+
+
+def p6_counts(spark, d):
+    return count_tokens(table(spark, d, "documents"))
+
+
+def p7_packs(spark, d):
+    return pack_documents(table(spark, d, "documents"))
+
+
+def p7_use(spark, d):
+    return container_use(pack_documents(table(spark, d, "documents")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p4_samples": p4_samples,
+    "p6_ids": p6_ids,
+    "p6_counts": p6_counts,
+    "p7_packs": p7_packs,
+    "p7_use": p7_use,
 }
 
 ORACLE: dict[str, str] = {}
