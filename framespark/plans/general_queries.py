@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framespark.functions.identity import NOBODY
+from framespark.operators.plausible import flags, implausible
 from framespark.operators.sessions import session_openers, speaker_totals
 from framespark.operators.shred import entity, links, number_arrays, shred
 from framespark.plans.cuts import cut
@@ -45,6 +46,14 @@ def p3_nodes(spark, d):
     return shred(table(spark, d, "feature_props"), "props_id", "properties")
 
 
+def p5_found(spark, d):
+    return implausible(table(spark, d, "features")).distinct()
+
+
+def p5_flags(spark, d):
+    return flags(table(spark, d, "features"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_totals": p2_totals,
@@ -58,6 +67,8 @@ QUERIES = {
     "p3_gaussians": _entity("gaussians", weight="double", mean="double"),
     "p3_candidates": _entity("candidates", lag="int", score="double"),
     "p3_stats": p3_stats,
+    "p5_found": p5_found,
+    "p5_flags": p5_flags,
 }
 
 _SPOKEN = rf"""
