@@ -5,6 +5,7 @@ from __future__ import annotations
 from framespark.llm.bpe import count_tokens, encode
 from framespark.llm.packing import container_use, pack_documents
 from framespark.llm.pieces import found_pauses, piece_samples, pieces
+from framespark.llm.sentences import sentences, train
 from framespark.llm.splits import grouped_splits, shared_pairs
 from framespark.sources.tables import table
 
@@ -45,6 +46,20 @@ def p7_use(spark, d):
     return container_use(pack_documents(table(spark, d, "documents")))
 
 
+def _prose(spark, d):
+    return table(spark, d, "documents").where("prose").select("doc_id", "text")
+
+
+def p8_found(spark, d):
+    prose = _prose(spark, d)
+    return sentences(prose, train(prose)).distinct()
+
+
+def p8_sentences(spark, d):
+    """All documents, by the model of those in running text."""
+    return sentences(table(spark, d, "documents"), train(_prose(spark, d)))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -55,6 +70,8 @@ QUERIES = {
     "p6_counts": p6_counts,
     "p7_packs": p7_packs,
     "p7_use": p7_use,
+    "p8_found": p8_found,
+    "p8_sentences": p8_sentences,
 }
 
 ORACLE: dict[str, str] = {}
