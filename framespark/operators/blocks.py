@@ -26,3 +26,47 @@ def over(item: str = "item", frame: str = "frame") -> WindowSpec:
 
 def own(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_block")
+
+
+def groups(batches, keys: tuple[str, ...]):
+    """Yields the rows of each group as an Arrow table, from batches in which a group's rows are consecutive."""
+    import numpy as np
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            codes = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+            new |= codes[1:] != codes[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield table.slice(a, b - a)
+        rest = table.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def matrix(column):
+    """An Arrow column of lists of one width as a matrix of doubles."""
+    import numpy as np
+
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if hasattr(lists, "chunks") else lists
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def vectors(values, kind="float64"):
+    """A matrix as an Arrow column of lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).ravel().astype(kind)))

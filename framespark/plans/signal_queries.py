@@ -99,9 +99,9 @@ def dc_removal(spark, d):
     return S.make_frames(views.signals(spark, d)).select("signal_id", "frame", F.transform(S.without_mean(F.col("x")), lambda v: F.round(v, 4) + 0.0).alias("x"))
 
 
-@R.query(_FRAMES + " SELECT signal_id, frame, list_transform(range(1, len(x) + 1), lambda i: round(x[i] - 0.97 * x[greatest(i - 1, 1)], 7) + 0.0) AS x FROM x")
+@R.query(_FRAMES + " SELECT signal_id, frame, list_transform(range(1, len(x) + 1), lambda i: round(x[i] - 0.97::DOUBLE * x[greatest(i - 1, 1)] + 1e-9::DOUBLE, 7) + 0.0) AS x FROM x")
 def preemphasis(spark, d):
-    return S.make_frames(views.signals(spark, d)).select("signal_id", "frame", F.transform(S.preemphasis(F.col("x")), lambda v: F.round(v, 7) + 0.0).alias("x"))
+    return S.make_frames(views.signals(spark, d)).select("signal_id", "frame", F.transform(S.preemphasis(F.col("x")), lambda v: F.round(v + 1e-9, 7) + 0.0).alias("x"))
 
 
 @R.query(f"WITH {SIG} SELECT signal_id, CASE WHEN dtype = 'int16' THEN list_min(samples) >= -32768 AND list_max(samples) <= 32767 ELSE list_min(samples) >= -1 AND list_max(samples) <= 1 END AS valid, len(samples) / sample_rate AS duration, CAST(CASE WHEN dtype = 'int16' THEN 16 ELSE 32 END AS INT) AS precision_bits FROM sig")
