@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framespark.operators.blocks import blocked, over, own
 
@@ -108,7 +109,7 @@ def delta(features: DataFrame, order: int = 2, window: int = 2) -> DataFrame:
     reach = order * window
     d = blocked(features, 64 + reach)
     w = over()
-    whole = w.rowsBetween(-(2**31), 2**31 - 1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = F.first("vec").over(whole), F.last("vec").over(whole)
     names = {k: f"_n{k + reach}" for k in range(-reach, reach + 1)}
     cols = {names[k]: (F.col("vec") if not k else F.coalesce(F.lag("vec", -k).over(w), first) if k < 0 else F.coalesce(F.lead("vec", k).over(w), last)) for k in names}
@@ -147,8 +148,6 @@ def vad(features: DataFrame, energy_threshold: float = 5.0, energy_mean_scale: f
 
 def interpolate_unvoiced(features: DataFrame, column: Column, voiced: Column, name: str = "filled") -> DataFrame:
     """``column`` at frames that are not voiced, on the line between the voiced neighbours; the ends hold the nearest."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("item").orderBy("frame")
     at = F.when(voiced, F.struct(F.col("frame").alias("f"), column.alias("v")))
     a = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))

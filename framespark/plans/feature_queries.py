@@ -140,7 +140,7 @@ def token_inventory(spark, d):
 
 
 @R.query(f"WITH {ALI}, inv AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM (SELECT DISTINCT token FROM alignments)), n AS (SELECT max(idx) AS top FROM inv)"
-  " SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY onset, offset_s, token) - 1 AS INT) AS frame, onset AS t0, offset_s AS t1, list_transform(range(0, top + 1), lambda i: i = idx) AS vec FROM ali JOIN inv USING (token), n")
+  " SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY onset, offset_s, token) - 1 AS INT) AS frame, onset AS t0, offset_s AS t1, list_transform(range(0, top + 1), lambda i: i = inv.idx) AS vec FROM ali JOIN inv USING (token), n")
 def onehot(spark, d):
     return A.one_hot(views.alignments(spark, d))
 
