@@ -30,10 +30,12 @@ def merge(*stats: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def arrays(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``by..., count, mean, std``: arrays in the order of components, population deviations with a floor on the variance. An error for less than one frame."""
-    mean = F.col("s1") / F.col("count")
-    var = F.greatest(F.col("s2") / F.col("count") - mean * mean, F.lit(FLOOR))
-    few = F.when(F.col("count") < 1.0, F.raise_error(F.concat(F.lit("insufficient accumulation of stats for CMVN, must be >= 1.0 but is "), F.col("count").cast("string"))).cast("double"))
-    rows = stats.select(*(by or []), F.coalesce(few, F.col("count")).alias("count"), F.struct("dim", mean.alias("m"), F.sqrt(var).alias("s")).alias("_v"))
+    group = F.concat_ws(", ", *(F.col(c).cast("string") for c in by)) if by else F.lit("all")
+    few = F.raise_error(F.concat(F.lit("insufficient accumulation of stats for CMVN, must be >= 1.0 but is "), F.col("count").cast("string"), F.lit(" for "), group)).cast("double")
+    n = F.when(F.col("count") >= 1.0, F.col("count")).otherwise(few)
+    mean = F.col("s1") / n
+    var = F.greatest(F.col("s2") / n - mean * mean, F.lit(FLOOR))
+    rows = stats.select(*(by or []), "count", F.struct("dim", mean.alias("m"), F.sqrt(var).alias("s")).alias("_v"))
     d = rows.groupBy(*(by or [])).agg(F.max("count").alias("count"), F.sort_array(F.collect_list("_v")).alias("_all"))
     return d.select(*(by or []), "count", F.transform("_all", lambda v: v["m"]).alias("mean"), F.transform("_all", lambda v: v["s"]).alias("std"))
 
