@@ -104,8 +104,9 @@ def links(nodes: DataFrame, key: str) -> DataFrame:
     """Object nodes that are elements of arrays, joined with the object node that encloses them: ``key, child_path, parent_path``."""
     objects = nodes.where("kind = 'object'").select(key, "node", "owner", "ordinal", "path")
     child = objects.where("ordinal is not null").select(key, "owner", F.col("path").alias("child_path"))
-    parent = objects.select(key, F.col("node").alias("owner"), F.col("path").alias("parent_path"))
-    inner = child.where("owner >= 0").join(parent, [key, "owner"]).select(key, "child_path", "parent_path")
+    parent = objects.select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("path").alias("parent_path"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("owner") == F.col("_node"))
+    inner = child.where("owner >= 0").join(parent, same).select(key, "child_path", "parent_path")
     outer = child.where("owner < 0").select(key, "child_path", F.lit("$").alias("parent_path"))
     return inner.unionByName(outer)
 
@@ -118,14 +119,15 @@ def entity(nodes: DataFrame, key: str, label: str, fields: dict[str, str]) -> Da
     """
     objects = nodes.where((F.col("kind") == "object") & (F.col("label") == label) & F.col("ordinal").isNotNull())
     scalars = nodes.where((F.col("kind") == "scalar") & F.col("ordinal").isNull() & F.col("label").isin(*fields))
-    scalars = scalars.select(key, F.col("parent").alias("node"), F.col("label").alias("_field"), F.col("scalar").alias("_value"))
-    joined = objects.select(key, "node", "owner", "ordinal", "path").join(scalars, [key, "node"], "left")
+    scalars = scalars.select(F.col(key).alias("_key"), F.col("parent").alias("_node"), F.col("label").alias("_field"), F.col("scalar").alias("_value"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("node") == F.col("_node"))
+    joined = objects.select(key, "node", "owner", "ordinal", "path").join(scalars, same, "left")
     picked = [F.max(F.when(F.col("_field") == f, F.col("_value"))).try_cast(t).alias(f) for f, t in fields.items()]
     return joined.groupBy(key, "node").agg(F.first("owner").alias("owner"), F.first("ordinal").alias("ordinal"), F.first("path").alias("path"), *picked)
 
 
 def number_arrays(nodes: DataFrame, key: str, label: str) -> DataFrame:
     """Arrays of arrays of numbers named ``label`` in long form: ``key, owner, row, col, value``."""
-    inner = nodes.where((F.col("kind") == "array") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(key, F.col("node").alias("parent"), F.col("ordinal").alias("row"))
+    inner = nodes.where((F.col("kind") == "array") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("ordinal").alias("row"))
     cells = nodes.where((F.col("kind") == "scalar") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(key, "parent", "owner", F.col("ordinal").alias("col"), F.col("scalar").try_cast("double").alias("value"))
-    return cells.join(inner, [key, "parent"]).select(key, "owner", "row", "col", "value")
+    return cells.join(inner, F.col(key).eqNullSafe(F.col("_key")) & (F.col("parent") == F.col("_node"))).select(key, "owner", "row", "col", "value")
