@@ -105,7 +105,7 @@ def allocate(bundles: list[tuple[int, int, int]], shares: dict[str, float]) -> d
         ideal = [count * planned[g][s] / whole + carry[g][s] / size for s in range(k)]
         given = [max(0, int(x)) for x in ideal]
         while sum(given) > count:
-            s = max(range(k), key=lambda s: (given[s] - ideal[s], given[s]))
+            s = max((s for s in range(k) if given[s]), key=lambda s: (given[s] - ideal[s], given[s]))
             given[s] -= 1
         ok = [s for s in g[1]]
         for _ in range(count - sum(given)):
