@@ -20,6 +20,8 @@ LIMIT_S, OVERLAP_S, PAUSE_S = 4.0, 0.2, 0.25
 CLICK_LETTERS, CALM_S = 5, 0.02
 #: Background: the window in which its scatter is sought; how many scatters it may reach.
 WINDOW_S, REACH = 0.06, 5.0
+#: A background is there if the loud (all but a fiftieth of the windows are below it) exceeds the least scatter so many times.
+CONTRAST = 13.0
 #: One step of the samples by dtype.
 STEP = {"int16": 1.0, "int32": 1.0, "float32": 2.0**-15, "float64": 2.0**-15}
 
@@ -41,7 +43,9 @@ def letters(x: np.ndarray, rate: int, dtype: str | None) -> str:
     mean = (one[k:] - one[:-k]) / k
     scatter = np.sqrt(np.maximum((two[k:] - two[:-k]) / k - mean * mean, 0.0))
     least = scatter.min()
-    loud = np.percentile(scatter, 90)
+    loud = np.percentile(scatter, 98)
+    if loud < CONTRAST * least:  # speech throughout, or no speech
+        return "s" * -(-n // hop)
     step = STEP.get(dtype or "", 2.0**-15)
     near = np.flatnonzero(scatter <= max(2.2 * least, 0.5 * step))
     inside = np.zeros(n + 1, np.int32)
@@ -50,7 +54,7 @@ def letters(x: np.ndarray, rate: int, dtype: str | None) -> str:
     calm = y[np.cumsum(inside[:-1]) > 0]
     rest = np.median(calm)
     sigma = max(np.median(np.abs(calm - rest)) / 0.6745, least)
-    bound = max(REACH * sigma, min(2.5 * step, 0.1 * loud))
+    bound = max(REACH * sigma, min(2.5 * step, 0.07 * loud))
     high = (np.abs(y - rest) > bound) | ~fine
     if hop > 1:
         high = np.logical_or.reduceat(high, np.arange(0, n, hop))
