@@ -9,6 +9,7 @@ and (record, owner) link the tables. Nodes are numbered within a record, so no s
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,18 +18,19 @@ from pyspark.sql import functions as F
 #: Fields that hold arrays of objects, where a single object stands for its element 0.
 OBJECT_ARRAYS = ("pipeline", "bands", "channels", "iterations", "warps", "gaussians")
 
+_WRAPPED = re.compile(r'\s*[{\["]')
 NODES = "node int, parent int, owner int, label string, ordinal int, kind string, scalar string, path string"
 _FIELDS = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
 
 def unwrap(value):
     """A string that holds JSON of an object or array is read as that, however often it was wrapped."""
-    while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
+    while isinstance(value, str) and _WRAPPED.match(value):
         try:
             inner = json.loads(value)
         except (ValueError, RecursionError):
             return value
-        if isinstance(inner, str) and inner.lstrip()[:1] not in ("{", "[", '"'):
+        if isinstance(inner, str) and not _WRAPPED.match(inner):
             return value
         value = inner
     return value
@@ -45,35 +47,45 @@ def readable(text: str | None):
 
 
 def nodes_of(value, arrays: frozenset[str], kinds: frozenset[str]):
-    """Yields the nodes of one record; an explicit stack, for depth is the data's."""
+    """Yields the nodes of one record; an explicit stack, for depth is the data's. Leaves that aren't wanted are not even numbered."""
+    leaves = bool(kinds & {"scalar", "null"})
     number = 0
     stack = [(value, -1, -1, None, None, "$")]
     while stack:
         v, parent, owner, label, ordinal, path = stack.pop()
         me, number = number, number + 1
-        if isinstance(v, dict):
-            kind, scalar, inner = "object", None, []
-            lead = "" if path == "$" else path + "."
+        kind, scalar = type(v), None
+        if kind is dict:
+            lead, kind, inner = ("" if path == "$" else path + "."), "object", []
             for k, x in v.items():
-                x = unwrap(x)
-                if isinstance(x, dict) and k in arrays:
-                    x = [x]
+                if type(x) is str:
+                    x = unwrap(x)
+                if type(x) is dict:
+                    if k in arrays:
+                        x = [x]
+                elif type(x) is not list and not leaves:
+                    continue
                 inner.append((x, me, me, k, None, lead + k))
-        elif isinstance(v, list):
-            kind, scalar = "array", None
-            inner = [(unwrap(x), me, owner, label, i, f"{path}[{i}]") for i, x in enumerate(v)]
+            stack += inner[::-1]
+        elif kind is list:
+            kind, inner = "array", []
+            for i, x in enumerate(v):
+                if type(x) is str:
+                    x = unwrap(x)
+                if leaves or type(x) in (dict, list):
+                    inner.append((x, me, owner, label, i, f"{path}[{i}]"))
+            stack += inner[::-1]
         else:
-            kind, inner = ("null" if v is None else "scalar"), ()
+            kind = "null" if v is None else "scalar"
             scalar = v if isinstance(v, str) else None if v is None else json.dumps(v)
         if kind in kinds:
             yield me, parent, owner, label, ordinal, kind, scalar, path
-        stack.extend(reversed(inner))
 
 
 def shred(df: DataFrame, key: str, text: str, arrays: tuple[str, ...] = OBJECT_ARRAYS, kinds: tuple[str, ...] = ("object", "array", "scalar", "null")) -> DataFrame:
     """``key, node, parent, owner, label, ordinal, kind, scalar, path`` of every readable ``text``.
 
-    The root is node 0 with parent and owner -1 and path ``$``. An element has its array's label. Null, empty and broken
+    The root is node 0 with parent and owner -1 and path ``$``; numbers are those of one call with its ``kinds``. An element has its array's label. Null, empty and broken
     texts have no nodes, nor has one nested beyond the parser's depth (about a thousand levels). Repeated rows come out as often as they
     go in. Of a field written twice in one object the last holds. Other columns are not read.
     """
@@ -82,26 +94,33 @@ def shred(df: DataFrame, key: str, text: str, arrays: tuple[str, ...] = OBJECT_A
 
     def run(batches):
         for batch in batches:
-            keys, rows = [], [[] for _ in _FIELDS]
-            for k, t in zip(batch.column(0), batch.column(1).to_pylist()):
+            at, rows = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
                 fine, value = readable(t)
                 if not fine:
                     continue
-                for node in nodes_of(value, named, kept):
-                    keys.append(k.as_py())
-                    for column, x in zip(rows, node):
-                        column.append(x)
-                if len(keys) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *map(pa.array, rows, _FIELDS)], names)
-                    keys, rows = [], [[] for _ in _FIELDS]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *map(pa.array, rows, _FIELDS)], names)
+                rows += nodes_of(value, named, kept)
+                at += [i] * (len(rows) - len(at))
+                if len(rows) > 50_000:
+                    yield packed(batch, at, rows)
+                    at, rows = [], []
+            yield packed(batch, at, rows)
+
+    def packed(batch, at, rows):
+        columns = zip(*rows) if rows else ([] for _ in _FIELDS)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, _FIELDS)], names)
 
     names = [key, *(x.split()[0] for x in NODES.split(", "))]
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind_of.simpleString()}, {NODES}")
 
 
+def record_key(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` as a struct of itself and its text's hash, and ``text``: repeats of a record that write it differently number their nodes differently, and must not be joined."""
+    return df.select(F.struct(F.col(key).alias(key), F.xxhash64(text).alias("h")).alias("record"), F.col(text).alias(text))
+
+
 def links(nodes: DataFrame, key: str) -> DataFrame:
-    """Object nodes that are elements of arrays, joined with the object node that encloses them: ``key, child_path, parent_path``."""
+    """Object nodes that are elements of arrays, joined with the object node that encloses them: ``key, child_path, parent_path``. ``key`` must tell records apart; see ``record_key``."""
     objects = nodes.where("kind = 'object'").select(key, "node", "owner", "ordinal", "path")
     child = objects.where("ordinal is not null").select(key, "owner", F.col("path").alias("child_path"))
     parent = objects.select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("path").alias("parent_path"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framespark.functions.identity import NOBODY
 from framespark.operators.plausible import flags, implausible
 from framespark.operators.sessions import session_openers, speaker_totals
-from framespark.operators.shred import entity, links, number_arrays, shred
+from framespark.operators.shred import entity, links, number_arrays, record_key, shred
 from framespark.plans.cuts import cut
 from framespark.sources.tables import table
 
@@ -21,8 +21,9 @@ def p2_totals(spark, d):
 
 
 def p3_found(spark, d):
-    nodes = shred(table(spark, d, "feature_props"), "props_id", "properties", kinds=("object",))
-    return links(cut(nodes, "objects"), "props_id").distinct()
+    records = record_key(table(spark, d, "feature_props"), "props_id", "properties")
+    nodes = cut(shred(records, "record", "properties", kinds=("object",)), "objects")
+    return links(nodes, "record").select("record.props_id", "child_path", "parent_path").distinct()
 
 
 def _nodes(spark, d):

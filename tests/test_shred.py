@@ -1,6 +1,6 @@
 import json
 
-from framespark.operators.shred import entity, links, number_arrays, shred
+from framespark.operators.shred import entity, links, number_arrays, record_key, shred
 
 SCHEMA = "props_id bigint, properties string, node string, owner int"
 
@@ -50,3 +50,11 @@ def test_nodes_rebuild_the_record(spark):
             up = made[r.parent]
             up.append(v) if isinstance(up, list) else up.__setitem__(r.label, v)
     assert made[0] == p
+
+
+def test_repeats_written_differently(spark):
+    a = {"x": {"y": 1}, "bands": [{"low": 1}], "q": {"warps": [{"w": 2}]}}
+    b = dict(reversed(a.items()))
+    d = record_key(frame(spark, [(1, a), (1, b), (1, a)]), "props_id", "properties")
+    got = links(shred(d, "record", "properties"), "record").select("record.props_id", "child_path", "parent_path").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1, "bands[0]", "$"), (1, "q.warps[0]", "q")]
