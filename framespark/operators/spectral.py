@@ -131,3 +131,29 @@ def pitch_post(pitch: DataFrame, pitch_scale: float = 2.0, pov_scale: float = 2.
     cols = [c for c, on in (("_pov", add_pov), ("_norm", add_normalized), ("_delta", add_delta), ("_log", add_raw)) if on]
     vec = F.array(*(F.coalesce(F.lag(c, delay).over(w), F.first(c).over(w.rowsBetween(-(1 << 63), (1 << 63) - 1))) if delay else F.col(c) for c in cols))
     return own(d.withColumn("_out", vec)).select("item", "frame", F.col("_out").alias("vec"))
+
+
+def crepe_post(pitch: DataFrame, pitch_scale: float = 2.0, delta_pitch_scale: float = 10.0, **more) -> DataFrame:
+    """``item, frame, vec`` of ``vec = [voicing, pitch]``: pitch on the line between voiced neighbours, voicing as a cross-correlation, then ``pitch_post``.
+
+    Whether a frame is voiced is a path through two states over the whole item; an item without voiced frames is an error.
+    """
+    from framespark.operators.blocks import groups, matrix
+
+    kind = pitch.schema["item"].dataType.simpleString()
+    grid = np.linspace(0.0, 1.0, 4097)
+    curve = -5.2 + 5.4 * np.exp(7.5 * (grid - 1)) + 4.8 * grid - 2 * np.exp(-10 * grid) + 4.2 * np.exp(20 * (grid - 1))
+    curve = 1 / (1 + np.exp(-curve))
+
+    def run(batches):
+        for t in groups(batches, ("item",)):
+            x, frame = matrix(t.column("vec")), t.column("frame").to_numpy()
+            voiced = K.voicing(x[:, 0])
+            if not voiced.any():
+                raise ValueError(f"no voiced frames: {t.column('item')[0].as_py()}")
+            hz = np.interp(frame, frame[voiced], x[voiced, 1])
+            nccf = np.interp(x[:, 0], curve, grid)  # the curve rises, so its inverse is an interpolation
+            yield pa.RecordBatch.from_arrays([t.column("item").combine_chunks(), t.column("frame").combine_chunks(), vectors(np.stack([nccf, hz], axis=1))], ["item", "frame", "vec"])
+
+    d = pitch.select("item", "frame", F.col("vec").cast("array<double>")).repartition("item").sortWithinPartitions("item", "frame")
+    return pitch_post(d.mapInArrow(run, f"item {kind}, frame int, vec array<double>"), pitch_scale=pitch_scale, delta_pitch_scale=delta_pitch_scale, **more)
