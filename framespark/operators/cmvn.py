@@ -53,7 +53,10 @@ def _apply(vec: str, norm_vars: bool, reverse: bool, skip: tuple[int, ...]) -> C
 def normalise(features: DataFrame, stats: DataFrame, by: list[str] | None = None, norm_vars: bool = True, skip_dims: tuple[int, ...] = (), reverse: bool = False, vec: str = "vec") -> DataFrame:
     """Features less the mean, by the deviation, of their group; or the way back."""
     table = arrays(stats, by)
-    joined = features.join(table, by) if by else features.crossJoin(F.broadcast(table))  # without groups the table is one row
+    if by:
+        joined = features.join(table, by)
+    else:  # one row of statistics, broadcast
+        joined = features.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return joined.withColumn(vec, _apply(vec, norm_vars, reverse, skip_dims)).drop("count", "mean", "std")
 
 

@@ -25,7 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` of every node of the undirected ``edges(a, b)`` of BIGINT; a component is named by its least node.
 
     Each round is two joins over edges and is written before the next, so lineage stays short. Rounds grow with the logarithm
-    of the components' diameter. Loops and repeats are allowed; an empty table has no nodes.
+    of the components' diameter. A hub's edges, two numbers each, are split between tasks by adaptive execution. Loops and repeats are allowed; an empty table has no nodes.
     """
     loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     now = cut(edges.where("a != b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).distinct(), "edges")
