@@ -59,6 +59,13 @@ def concat_positional(spark, d):
     return _vec(X.concatenate(f.withColumn("vec", F.slice("vec", 1, 3)), f.withColumn("vec", F.slice("vec", 4, 5))))
 
 
+@R.query()
+def concat_positional_all(spark, d):
+    """``concat_positional`` over all items, the long monitor's too."""
+    f = views.features(spark, d)
+    return _vec(X.concatenate(f.withColumn("vec", F.slice("vec", 1, 3)), f.withColumn("vec", F.slice("vec", 4, 5))))
+
+
 @R.query(_F + ", m AS (SELECT item, max(frame) AS last FROM fea GROUP BY item) SELECT item, frame, list_transform(list_concat(vec, vec), lambda x: round(x::DOUBLE + 1e-7::DOUBLE, 4) + 0.0) AS vec FROM fea JOIN m USING (item) WHERE frame < last")
 def concat_tolerance(spark, d):
     """Pasted to features that lack their last frame."""
@@ -260,6 +267,18 @@ def delta_2(spark, d):
     return _vec(X.delta(views.features(spark, d).where("item not like 'mon%'"), 2))
 
 
+@R.query()
+def delta_1_all(spark, d):
+    """``delta_1`` over all items, the long monitor's too."""
+    return _vec(X.delta(views.features(spark, d), 1))
+
+
+@R.query()
+def delta_2_all(spark, d):
+    """``delta_2`` over all items, the long monitor's too."""
+    return _vec(X.delta(views.features(spark, d), 2))
+
+
 @R.query(_F + ", m AS (SELECT *, avg(vec[1]::DOUBLE) OVER (PARTITION BY item) AS m FROM fea) SELECT item, frame, CAST(CASE WHEN vec[1]::DOUBLE > 0.5 + 0.9 * m THEN 1 ELSE 0 END AS TINYINT) AS voiced FROM m")
 def vad(spark, d):
     return X.vad(views.features(spark, d), 0.5, 0.9)
@@ -321,6 +340,12 @@ def pipeline_cmvn_delta(spark, d):
     return _vec(X.delta(C.cmvn(f).where("item not like 'mon%'"), 1))
 
 
+@R.query()
+def pipeline_cmvn_delta_all(spark, d):
+    """``pipeline_cmvn_delta`` with derivatives of all items, the long monitor's too."""
+    return _vec(X.delta(C.cmvn(views.features(spark, d)), 1))
+
+
 @R.query(f"WITH {META} SELECT sample_rate, nchannels, count(*) AS files, count(*) FILTER (WHERE nchannels <> 1) AS not_mono FROM meta GROUP BY sample_rate, nchannels")
 def rates_and_channels(spark, d):
     m = views.audio_meta(spark, d)
