@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framespark.operators.blocks import matrix, vectors
+from framespark.plans.cuts import cut
+
+NORM_TYPES = ("offset", "none", "diag")
 
 
 @dataclass(frozen=True)
@@ -183,61 +186,126 @@ def normal_equations(plain: DataFrame, warped: DataFrame, dims: int) -> DataFram
     return wide.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def mapping_transform(plain: DataFrame, warped: DataFrame, dims: int) -> np.ndarray:
-    """[dims, dims + 1]: the affine map that takes plain features nearest to warped ones."""
+def mapping_transform(plain: DataFrame, warped: DataFrame, dims: int, renormalise: bool = False) -> np.ndarray:
+    """[dims, dims + 1]: the affine map that takes plain features nearest to warped ones. Renormalised, it has no offset and its rows are scaled to leave each component's variance as it was."""
     q, right = np.zeros((dims + 1, dims + 1)), np.zeros((dims + 1, dims + 1))
     for r in normal_equations(plain, warped, dims).collect():
         q[r.i, r.j], right[r.i, r.j] = r.q or 0.0, r.l or 0.0
-    return np.linalg.lstsq(q, right[:, :dims], rcond=None)[0].T
-
-
-def choose_warps(frames: DataFrame, model: Mixture, transforms: dict[float, np.ndarray], key: str, logdet_scale: float = 0.0) -> DataFrame:
-    """``key, warp, score``: for each key the warp under whose map its frames are likeliest. Each task sends a row per key and warp."""
+    a = np.linalg.lstsq(q, right[:, :dims], rcond=None)[0].T
+    if not renormalise:
+        return a
+    if not q[dims, dims]:
+        raise ValueError("no frames to find maps between warps from")
+    n, mean = q[dims, dims], q[dims] / q[dims, dims]
+    before = np.diag(q)[:dims] / n - mean[:dims] ** 2
+    after = np.einsum("ij,jk,ik->i", a, q, a) / n - (a @ mean) ** 2
+    return np.hstack([a[:, :dims] * np.sqrt(before / after)[:, None], np.zeros((dims, 1))])
+
+
+def _fitted(n: np.ndarray, s: np.ndarray, norm_type: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scale, offset, objective) of each row: the best ``scale * y + offset`` by component, of the sums of c, k, c y, c y y, k y."""
+    sc, sk, scy, scyy, sky = (s[:, i] for i in range(5))
+    scale, offset = np.ones_like(sc), np.zeros_like(sc)
+    if norm_type == "diag":
+        p, r = np.maximum(scyy - scy**2 / sc, 1e-10), sky - sk * scy / sc
+        scale = (r + np.sqrt(r * r + 4 * p * n[:, None])) / (2 * p)
+    if norm_type != "none":
+        offset = (sk - scale * scy) / sc
+    parts = n[:, None] * np.log(scale) - 0.5 * (scale**2 * scyy + 2 * scale * offset * scy + offset**2 * sc) + scale * sky + offset * sk
+    return scale, offset, parts.sum(axis=1)
+
+
+def choose_warps(frames: DataFrame, model: Mixture, transforms: dict[float, np.ndarray], key: str, logdet_scale: float = 0.0, norm_type: str = "offset", now: str = "vec", k: int = 15, least: float = 0.025) -> DataFrame:
+    """``key, warp, score, scale, offset``: for each key the warp whose map, followed by an offset (``offset``), a scale and an offset (``diag``) or neither (``none``), has the best auxiliary function.
+
+    Posteriors are those of the column ``now``, pruned. Each task sends a row per key and warp.
+    """
+    if norm_type not in NORM_TYPES:
+        raise ValueError(f"norm_type must be in {list(NORM_TYPES)}, it is {norm_type}")
     kind = frames.schema[key].dataType.simpleString()
     factors = sorted(transforms)
+    maps = np.array([transforms[f] for f in factors])
+    d = maps.shape[1]
+    logdet = {f: float(np.linalg.slogdet(transforms[f][:, :-1])[1]) for f in factors}
 
     def run(batches):
+        iv = 1.0 / model.var
         total: dict = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            x = matrix(pa.chunked_array([b.column(1)]))
+            x, z = matrix(pa.chunked_array([b.column(1)])), matrix(pa.chunked_array([b.column(2)]))
+            order, ll = _selected(z, model, k)
+            p = np.zeros((len(z), len(model.weight)))
+            np.put_along_axis(p, order, posterior(ll, least), axis=1)
+            c, m = p @ iv, p @ (iv * model.mean)
             keys = b.column(0).dictionary_encode()
             codes = keys.indices.to_numpy()
-            for c, f in enumerate(factors):
-                a = transforms[f]
-                ll = model.loglik(x @ a[:, :-1].T + a[:, -1])
-                top = ll.max(axis=1)
-                s = top + np.log(np.exp(ll - top[:, None]).sum(axis=1)) + logdet_scale * np.linalg.slogdet(a[:, :-1])[1]
-                for i, v in enumerate(np.bincount(codes, s, len(keys.dictionary))):
-                    k = keys.dictionary[i].as_py(), c
-                    total[k] = total.get(k, 0.0) + v
+            by = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[by]) > 0])
+            x, c, m = x[by], c[by], m[by]
+            counts = np.diff(np.r_[starts, len(by)])
+            sums = np.empty((len(starts), len(factors), 5, d))
+            sums[:, :, 0], sums[:, :, 1] = np.add.reduceat(c, starts)[:, None], np.add.reduceat(m, starts)[:, None]
+            for w, a in enumerate(maps):
+                y = x @ a[:, :-1].T + a[:, -1]
+                cy = c * y
+                for at, v in ((2, cy), (3, cy * y), (4, m * y)):
+                    sums[:, w, at] = np.add.reduceat(v, starts)
+            for i, code in enumerate(codes[by][starts]):
+                name = keys.dictionary[int(code)].as_py()
+                n, s = total.get(name, (0, 0.0))
+                total[name] = n + int(counts[i]), s + sums[i]
         if total:
-            ks = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in ks]), pa.array([factors[c] for _, c in ks], pa.float64()), pa.array([total[k] for k in ks])], [key, "warp", "score"])
+            many = len(factors)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name for name in total for _ in factors]), pa.array(factors * len(total), pa.float64()), pa.array(np.repeat([float(n) for n, _ in total.values()], many)), vectors(np.concatenate([s.reshape(many, 5 * d) for _, s in total.values()]))],
+                [key, "warp", "n", "s"],
+            )
+
+    def fit(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, warp = b.column(2).to_numpy(), b.column(1).to_numpy()
+            scale, offset, score = _fitted(n, matrix(pa.chunked_array([b.column(3)])).reshape(-1, 5, d), norm_type)
+            score = score + logdet_scale * n * np.array([logdet[f] for f in warp])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), vectors(scale), vectors(offset)], [key, "warp", "score", "scale", "offset"])
 
-    parts = frames.where(F.col(key).isNotNull()).select(key, F.col("vec").cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, warp double, score double")
-    summed = parts.groupBy(key, "warp").agg(F.sum("score").alias("score"))
-    return summed.groupBy(key).agg(F.max_by("warp", F.struct("score", -F.abs(F.col("warp") - 1.0))).alias("warp"), F.max("score").alias("score"))
+    arrays = [F.col(v).cast("array<double>").alias(f"_{i}") for i, v in enumerate(("vec", now))]
+    parts = frames.where(F.col(key).isNotNull()).select(key, *arrays).mapInArrow(run, f"`{key}` {kind}, warp double, n double, s array<double>")
+    summed = parts.groupBy(key, "warp").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(5 * d))).alias("s"))
+    fitted = summed.mapInArrow(fit, f"`{key}` {kind}, warp double, score double, scale array<double>, offset array<double>")
+    best = F.max_by(F.struct("warp", "score", "scale", "offset"), F.struct("score", -F.abs(F.col("warp") - 1.0))).alias("_b")
+    return fitted.groupBy(key).agg(best).select(key, "_b.*")
 
 
 def apply_transform(frames: DataFrame, warps: DataFrame, transforms: dict[float, np.ndarray], key: str) -> DataFrame:
-    """Frames under the map of their key's warp; keys without one are left as they are."""
+    """Frames under the map of their key's warp, with its scale and offset if ``warps`` has them; keys without one are left as they are."""
     table = frames.sparkSession.createDataFrame([(float(f), a.tolist()) for f, a in transforms.items()], "warp double, _a array<array<double>>")
-    maps = warps.select(key, "warp").join(F.broadcast(table), "warp").select(key, "_a")
+    more = [c for c in ("scale", "offset") if c in warps.columns]
+    maps = warps.select(key, "warp", *(F.col(c).alias(f"_{c}") for c in more)).join(F.broadcast(table), "warp").drop("warp")
     x = F.concat(F.col("vec").cast("array<double>"), F.array(F.lit(1.0)))
     moved = F.transform("_a", lambda row: F.aggregate(F.zip_with(row, x, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v))
-    return frames.join(maps, key, "left").withColumn("vec", F.coalesce(moved, F.col("vec").cast("array<double>"))).drop("_a")
+    for c, f in (("scale", lambda p, q: p * q), ("offset", lambda p, q: p + q)):
+        if c in more:
+            moved = F.zip_with(moved, f"_{c}", f)
+    return frames.join(maps, key, "left").withColumn("vec", F.coalesce(moved, F.col("vec").cast("array<double>"))).drop("_a", *(f"_{c}" for c in more))
 
 
-def train_warps(plain: DataFrame, warped: dict[float, DataFrame], key: str, num_gauss: int = 8, num_iters: int = 3, logdet_scale: float = 0.0, seed: int = 0) -> tuple[DataFrame, dict[float, np.ndarray], Mixture]:
-    """(``key, warp``; maps by warp; model): the mixture and the warps in turn, each iteration a pass over the frames."""
+def train_warps(plain: DataFrame, warped: dict[float, DataFrame], key: str, num_gauss: int = 64, num_iters: int = 15, logdet_scale: float = 0.0, seed: int = 0, norm_type: str = "offset", subsample: int = 5) -> tuple[DataFrame, dict[float, np.ndarray], Mixture]:
+    """(``key, warp, score, scale, offset``; maps by warp; model): the mixture and the warps in turn, each iteration two passes over every ``subsample``-th frame."""
+    if norm_type not in NORM_TYPES:
+        raise ValueError(f"norm_type must be in {list(NORM_TYPES)}, it is {norm_type}")
     dims = len(plain.select("vec").first()[0])
-    maps = {f: np.hstack([np.eye(dims), np.zeros((dims, 1))]) if f == 1.0 else mapping_transform(plain, w, dims) for f, w in warped.items()}
-    model, _ = train(plain, num_gauss, num_iters=1, num_iters_init=4, seed=seed)
-    warps = choose_warps(plain, model, maps, key, logdet_scale)
+    every = F.col("frame") % subsample == 0
+    thin = cut(plain.where(every), "thin")
+    maps = {f: np.hstack([np.eye(dims), np.zeros((dims, 1))]) if f == 1.0 else mapping_transform(thin, w.where(every), dims, True) for f, w in warped.items()}
+    model, _ = train(plain, num_gauss, seed=seed, subsample=subsample)
+    warps = cut(choose_warps(thin, model, maps, key, logdet_scale, norm_type), "warps")
     for _ in range(num_iters):
-        moved = apply_transform(plain, warps, maps, key)
+        moved = apply_transform(thin.withColumn("_x", F.col("vec")), warps, maps, key)
         model, _ = estimate(accumulate(moved, model), model)
-        warps = choose_warps(plain, model, maps, key, logdet_scale)
+        moved = moved.withColumnsRenamed({"vec": "_now", "_x": "vec"})
+        warps = cut(choose_warps(moved, model, maps, key, logdet_scale, norm_type, "_now"), "warps")
     return warps, maps, model

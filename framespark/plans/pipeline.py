@@ -22,7 +22,7 @@ EXTRA = ("pitch", "cmvn", "delta", "vtln")
 _DELTA = {"order": 2, "window": 2}
 _VAD = {"energy_threshold": 5.0, "energy_mean_scale": 0.5, "frames_context": 0, "proportion_threshold": 0.6}
 _POST = {"pitch_scale": 2.0, "pov_scale": 2.0, "pov_offset": 0.0, "delta_pitch_scale": 10.0, "left": 75, "right": 75, "delta_window": 2, "delay": 0, "add_pov": True, "add_normalized": True, "add_delta": True, "add_raw": False}
-_VTLN = {"min_warp": 0.85, "max_warp": 1.25, "warp_step": 0.05, "num_gauss": 8, "num_iters": 3, "logdet_scale": 0.0, "by_speaker": True}
+_VTLN = {"min_warp": 0.85, "max_warp": 1.25, "warp_step": 0.01, "num_gauss": 64, "num_iters": 15, "logdet_scale": 0.0, "norm_type": "offset", "subsample": 5, "by_speaker": True}
 
 
 def valid_features() -> list[str]:
@@ -171,6 +171,7 @@ def _train(seg: DataFrame, p: Processor, c: dict) -> DataFrame:
     count = int(1.5 + (c["max_warp"] - c["min_warp"]) / c["warp_step"])
     factors = sorted({round(c["min_warp"] + i * c["warp_step"], 6) for i in range(count)} | {1.0})
     key = "speaker" if c["by_speaker"] else "item"
-    at = lambda f: cut(balanced_join(extract(seg.withColumn("_f", F.lit(f)), p, "item", "_f"), seg.select("item", "speaker").distinct(), "item"), "warped")
+    at = lambda f: extract(seg.withColumn("_f", F.lit(f)), p, "item", "_f")
     warped = {f: at(f) for f in factors}
-    return train_warps(warped[1.0], warped, key, c["num_gauss"], c["num_iters"], c["logdet_scale"])[0].select(key, "warp")
+    plain = cut(balanced_join(warped[1.0], seg.select("item", "speaker").distinct(), "item"), "plain")
+    return train_warps(plain, warped, key, c["num_gauss"], c["num_iters"], c["logdet_scale"], norm_type=c["norm_type"], subsample=c["subsample"])[0].select(key, "warp")

@@ -209,14 +209,15 @@ def ubm_train(spark, d):
 
 @R.query()
 def vtln(spark, d):
-    """A warp per speaker: features of the signals under five warps, maps between them, mixture and warps in turn."""
+    """A warp per speaker: features of the signals under 41 warps, maps between them, mixture and warps in turn."""
     s = views.signals(spark, d).select("item", "sample_rate", "dtype", "samples").dropDuplicates(["item"])
     speakers = views.utterances(spark, d).where("speaker is not null").select(F.col("name").alias("item"), "speaker")
     s = cut(s.join(speakers, "item"), "spoken")
     p = Processor("mfcc", num_ceps=5, num_bins=6, dither=0.0, vtln_low=60.0, vtln_high=-20.0)
-    at = lambda f: cut(extract(s.withColumn("w", F.lit(f)), p, "item", "w").join(s.select("item", "speaker"), "item"), "warped")
-    warped = {f: at(f) for f in (0.9, 0.95, 1.0, 1.05, 1.1)}
-    return M.train_warps(warped[1.0], warped, "speaker", num_gauss=4, num_iters=2)[0].select("speaker", "warp")
+    at = lambda f: extract(s.withColumn("w", F.lit(f)), p, "item", "w")
+    warped = {f: at(f) for f in (round(0.85 + 0.01 * i, 6) for i in range(41))}
+    plain = cut(warped[1.0].join(s.select("item", "speaker"), "item"), "plain")
+    return M.train_warps(plain, warped, "speaker")[0].select("speaker", "warp")
 
 
 QUERIES, ORACLE = R.queries, R.sql
