@@ -150,3 +150,12 @@ def number_arrays(nodes: DataFrame, key: str, label: str) -> DataFrame:
     inner = nodes.where((F.col("kind") == "array") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("ordinal").alias("row"))
     cells = nodes.where((F.col("kind") == "scalar") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(key, "parent", "owner", F.col("ordinal").alias("col"), F.col("scalar").try_cast("double").alias("value"))
     return cells.join(inner, F.col(key).eqNullSafe(F.col("_key")) & (F.col("parent") == F.col("_node"))).select(key, "owner", "row", "col", "value")
+
+
+def field_arrays(nodes: DataFrame, key: str, label: str, field: str, kind: str) -> DataFrame:
+    """Arrays in the field ``field`` of the objects in arrays named ``label``, in long form: ``key, owner, place, value``; ``owner`` is the object's node. A value that its type can't hold is null."""
+    objects = nodes.where((F.col("kind") == "object") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(F.col(key).alias("_key"), F.col("node").alias("_object"))
+    arrays = nodes.where((F.col("kind") == "array") & (F.col("label") == field) & F.col("ordinal").isNull()).select(F.col(key).alias("_of"), F.col("node").alias("_node"), F.col("parent").alias("_parent"))
+    cells = nodes.where(F.col("kind").isin("scalar", "null") & (F.col("label") == field) & F.col("ordinal").isNotNull()).select(key, "parent", "owner", F.col("ordinal").alias("place"), F.col("scalar").try_cast(kind).alias("value"))
+    within = cells.join(arrays, F.col(key).eqNullSafe(F.col("_of")) & (F.col("parent") == F.col("_node")))
+    return within.join(objects, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_parent") == F.col("_object"))).select(key, "owner", "place", "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framespark.functions.identity import NOBODY
 from framespark.operators.plausible import flags, implausible
 from framespark.operators.sessions import session_openers, speaker_totals
-from framespark.operators.shred import entity, links, number_arrays, record_key, shred
+from framespark.operators.shred import entity, field_arrays, links, number_arrays, record_key, shred
 from framespark.plans.cuts import cut
 from framespark.sources.tables import table
 
@@ -43,6 +43,11 @@ def p3_stats(spark, d):
     return number_arrays(_nodes(spark, d), "props_id", "stats")
 
 
+def p3_step_columns(spark, d):
+    """The columns of the steps in ``p3_steps``: ``owner`` is the step's node."""
+    return field_arrays(_nodes(spark, d), "props_id", "pipeline", "columns", "int")
+
+
 def p3_nodes(spark, d):
     return shred(table(spark, d, "feature_props"), "props_id", "properties")
 
@@ -61,11 +66,12 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_nodes": p3_nodes,
     "p3_steps": _entity("pipeline", name="string"),
+    "p3_step_columns": p3_step_columns,
     "p3_bands": _entity("bands", low="double", high="double"),
     "p3_channels": _entity("channels", index="int", gain="double"),
     "p3_iterations": _entity("iterations", iter="int"),
     "p3_warps": _entity("warps", speaker="string", warp="double"),
-    "p3_gaussians": _entity("gaussians", weight="double", mean="double"),
+    "p3_gaussians": _entity("gaussians", g="int", weight="double", mean="double"),
     "p3_candidates": _entity("candidates", lag="int", score="double"),
     "p3_stats": p3_stats,
     "p5_found": p5_found,
