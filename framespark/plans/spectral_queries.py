@@ -139,13 +139,13 @@ def _convolutions(seed: int = 0) -> dict:
 
 @R.query()
 def bottleneck(spark, d):
-    """The architecture with random weights: trained ones are the caller's."""
+    """The layout with small layers (64 and 32 units) of random weights: trained ones are the caller's."""
     return extract(views.signals(spark, d), Processor("bottleneck", weights=_weights()))
 
 
 @R.query()
 def crepe_pitch(spark, d):
-    """The architecture with random weights, 0.1 s a frame."""
+    """Three small blocks (8, 4 and 4 channels) of random weights in place of the full net, 0.1 s a frame."""
     return extract(views.signals(spark, d), Processor("crepe_pitch", weights=_convolutions(), frame_shift=0.1, frame_length=0.1))
 
 
