@@ -4,8 +4,8 @@ Each component of a source follows a local-level model whose two variances come
 differences. A Kalman filter forecasts every reading; one whose standardised innovation is beyond
 a threshold is withheld from the update. Withheld readings that go on for more than three frames are
 a new level, to which the filter moves; shorter ones are candidates, which an exact check holds
-against the course of the frames around them and the scatter about it. Innovations between readings that
-vanish for seven frames on end mark stuck values. Ranges and the time grid are checked beside it.
+against the course of the frames around them and the scatter about it. Stuck values follow the plain
+rule: readings equal to the bit over eight frames or more, blanked before the filter sees them. Ranges and the time grid are checked beside it.
 
 Sources are cut into blocks of frames with a margin on either side, so that no source, however large,
 is one task; blocks are filtered together, as rows of a matrix.
@@ -146,7 +146,7 @@ def equal_runs(x: np.ndarray, least: int) -> np.ndarray:
         return out
     same = x[:, 1:] == x[:, :-1]
     count = np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-    full = count[:, least - 1 :] - count[:, : steps - least + 1] == least - 1  # vanishing innovations
+    full = count[:, least - 1 :] - count[:, : steps - least + 1] == least - 1
     for k in range(least):
         out[:, k : k + full.shape[1]] |= full
     return out
