@@ -406,7 +406,7 @@ def _counted(c: Counter) -> pa.RecordBatch:
 
 
 def train(documents: DataFrame, text: str = "text", lefts: int = LEFTS, rights: int = RIGHTS) -> Model:
-    """Counts over all documents, then the fit. Words beyond the most frequent types count under their shapes."""
+    """Counts over the documents given, then the fit. Words beyond the most frequent types count under their shapes."""
 
     def run(batches):
         for batch in batches:
