@@ -1,33 +1,52 @@
 """Windows over the frames of an item without a task per item.
 
-Frames are cut into blocks; a block also gets the frames within a margin on either side. Windows that
-reach no further than the margin are then computed by (item, block), and only a block's own rows are kept.
-An item that holds a third of all rows is as many tasks as it has blocks.
+``blocked`` serves windows of frame *numbers*: a block also gets the frames within a margin on either side, and
+only a block's own rows are kept. ``windowed`` serves windows of *rows*, whatever frames are missing: rows
+inside a block are finished there; those near its ends go up, with as many neighbours as they need, to a level of far
+longer blocks, and what is near the ends of these to the item. Each level has a small fraction of the rows of the one
+below, so an item that holds a third of all rows is as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 BLOCK = 8192
-
-
-def blocked(df: DataFrame, margin: int, frame: str = "frame", block: int = BLOCK) -> DataFrame:
-    """Rows by block, ``_block`` and ``_own`` added; rows within ``margin`` frames of a neighbour block are in both."""
+#: Blocks of one level in a block of the next.
+SPAN = 512
+
+
+def windowed(df: DataFrame, reach: int, build: Callable[[DataFrame, WindowSpec], DataFrame], item: str = "item", frame: str = "frame") -> DataFrame:
+    """``build(rows, window)`` over all rows, ``window`` being the item's rows in the order of ``frame``.
+
+    ``build`` adds columns whose value at a row depends on rows at most ``reach`` before or after it (by count, not by
+    frame number), or, where there are fewer than that, on the item's first or last row. It must keep all rows and columns.
+    The shuffle by (item, block) is read twice, by the finished rows and by those that go up; ``4 * reach`` rows a block go up.
+    """
+    rows, done = df.withColumn("_todo", F.lit(True)), []
+    for size in (BLOCK, BLOCK * SPAN):
+        d = rows.withColumn("_block", F.floor(F.col(frame) / size))
+        w = Window.partitionBy(item, "_block").orderBy(frame)
+        ends = lambda r: F.lag(F.lit(True), r).over(w).isNull() | F.lead(F.lit(True), r).over(w).isNull()  # noqa: B023, E731
+        done.append(build(d.withColumn("_near", ends(reach)), w).where("_todo and not _near").drop("_near", "_block"))
+        rows = d.withColumns({"_near": ends(reach), "_far": ends(2 * reach)}).where("_far")
+        rows = rows.withColumn("_todo", F.col("_todo") & F.col("_near")).drop("_near", "_far", "_block")
+    done.append(build(rows, Window.partitionBy(item).orderBy(frame)).where("_todo"))
+    return reduce(DataFrame.unionByName, done).drop("_todo")
+
+
+def blocked(df: DataFrame, margin: int, frame: str = "frame", block: int | None = None) -> DataFrame:
+    """Rows by block, ``_block`` and ``_own`` added; rows within ``margin`` frame numbers of a neighbour block are in both."""
+    block = block or BLOCK
     low, high = F.floor((F.col(frame) - margin) / block), F.floor((F.col(frame) + margin) / block)
     return df.withColumn("_block", F.explode(F.sequence(low, high))).withColumn("_own", F.floor(F.col(frame) / block) == F.col("_block"))
 
 
-def over(item: str = "item", frame: str = "frame") -> WindowSpec:
-    return Window.partitionBy(item, "_block").orderBy(frame)
-
-
-def own(df: DataFrame) -> DataFrame:
-    return df.where("_own").drop("_own", "_block")
-
-
 def groups(batches, keys: tuple[str, ...]):
     """Yields the rows of each group as an Arrow table, from batches in which a group's rows are consecutive."""
     import numpy as np

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framespark.operators.blocks import blocked, over, own
+from framespark.operators.blocks import windowed
 
 KEYS = ["item", "frame"]
 
@@ -24,12 +24,14 @@ def cast(features: DataFrame, kind: str) -> DataFrame:
 
 def validate(features: DataFrame) -> DataFrame:
     """Per item: ``frames, one_width, finite, sorted, valid``. Times must not decrease, those with an end by the end first."""
-    # one neighbour is looked at, so blocks with a margin serve; frames may be missing, hence a margin above 1
-    d = blocked(features, 64)
-    w = over()
-    t0, t1 = F.lag("t0").over(w), F.lag("t1").over(w)
-    falls = F.when(F.col("t1").isNotNull(), (F.col("t1") < t1) | ((F.col("t1") == t1) & (F.col("t0") < t0))).otherwise(F.col("t0") < t0)
-    d = own(d.withColumn("_falls", F.coalesce(falls, F.lit(False))))
+
+
+    def falling(d, w):
+        t0, t1 = F.lag("t0").over(w), F.lag("t1").over(w)
+        falls = F.when(F.col("t1").isNotNull(), (F.col("t1") < t1) | ((F.col("t1") == t1) & (F.col("t0") < t0))).otherwise(F.col("t0") < t0)
+        return d.withColumn("_falls", F.coalesce(falls, F.lit(False)))
+
+    d = windowed(features, 1, falling)
     finite = ~F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     out = d.groupBy("item").agg(
         F.count(F.lit(1)).alias("frames"), (F.min(F.size("vec")) == F.max(F.size("vec"))).alias("one_width"), F.bool_and(finite).alias("finite"), (~F.bool_or("_falls")).alias("sorted"),
@@ -105,17 +107,20 @@ def delta_taps(order: int, window: int) -> list[list[float]]:
 def delta(features: DataFrame, order: int = 2, window: int = 2) -> DataFrame:
     """``vec`` followed by its derivatives; beyond an item's ends its first and last frames are repeated.
 
-    The taps are applied to neighbouring rows, in blocks with a margin.
+    The taps are applied to neighbouring rows: frames that are missing are no neighbours.
     """
     taps = delta_taps(order, window)
     reach = order * window
-    d = blocked(features, 64 + reach)
-    w = over()
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first("vec").over(whole), F.last("vec").over(whole)
     names = {k: f"_n{k + reach}" for k in range(-reach, reach + 1)}
-    cols = {names[k]: (F.col("vec") if not k else F.coalesce(F.lag("vec", -k).over(w), first) if k < 0 else F.coalesce(F.lead("vec", k).over(w), last)) for k in names}
-    d = own(d.withColumns(cols))
+
+    def neighbours(d, w):
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first, last = F.first("vec").over(whole), F.last("vec").over(whole)
+        return d.withColumns({n: F.col("vec") if not k else F.coalesce(F.lag("vec", -k).over(w), first) if k < 0 else F.coalesce(F.lead("vec", k).over(w), last) for k, n in names.items()})
+
+    if not reach:
+        return features.withColumn("vec", F.col("vec").cast("array<double>"))
+    d = windowed(features, reach, neighbours)
     parts = [F.col("vec").cast("array<double>")]
     for t in taps[1:]:
         half = len(t) // 2
@@ -144,7 +149,7 @@ def vad(features: DataFrame, energy_threshold: float = 5.0, energy_mean_scale: f
     d = features.join(mean, "item").select("item", "frame", (F.get("vec", F.lit(0)).cast("double") > energy_threshold + energy_mean_scale * F.col("_mean")).cast("double").alias("_above"))
     if frames_context:
         c = frames_context
-        d = own(blocked(d, 64 + c).withColumn("_above", F.avg("_above").over(over().rowsBetween(-c, c))))
+        d = windowed(d, c, lambda x, w: x.withColumn("_share", F.avg("_above").over(w.rowsBetween(-c, c)))).withColumn("_above", F.col("_share"))
     return d.select("item", "frame", (F.col("_above") >= proportion_threshold).cast("tinyint").alias("voiced"))
 
 

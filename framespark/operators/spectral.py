@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import inspect
+import math
 from dataclasses import fields, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framespark.functions import kernels as K
 from framespark.operators.blocks import vectors
@@ -111,26 +113,31 @@ def pitch_post(pitch: DataFrame, pitch_scale: float = 2.0, pov_scale: float = 2.
                add_pov: bool = True, add_normalized: bool = True, add_delta: bool = True, add_raw: bool = False, delta_noise: float = 0.0) -> DataFrame:
     """``item, frame, vec`` of ``item, frame, vec = [nccf, pitch]``: voicing, log pitch less its weighted mean around, its derivative, log pitch; those asked for, in this order."""
     from framespark.functions.scalars import pov_of_nccf, probability_of_nccf
-    from framespark.operators.blocks import blocked, over, own
+    from framespark.operators.blocks import windowed
     from framespark.operators.frames import delta_taps
 
     if not (add_pov or add_normalized or add_delta or add_raw):
         raise ValueError("at least one of add_pov, add_normalized, add_delta and add_raw must be true")
-    d = blocked(pitch, 64 + max(left, right) + delta_window + abs(delay))
     nccf, p = F.get("vec", F.lit(0)).cast("double"), F.get("vec", F.lit(1)).cast("double")
-    w = over()
-    near = w.rowsBetween(-left, right)
-    d = d.withColumns({"_pov": pov_of_nccf(nccf) * pov_scale / 2 + pov_offset, "_w": probability_of_nccf(nccf), "_log": F.log(F.greatest(p, F.lit(1e-10)))})
-    d = d.withColumn("_norm", (F.col("_log") - F.sum(F.col("_w") * F.col("_log")).over(near) / F.sum("_w").over(near)) * pitch_scale)
-    total = F.lit(0.0)
-    ends = [F.first("_log").over(w.rowsBetween(-(1 << 63), (1 << 63) - 1)), F.last("_log").over(w.rowsBetween(-(1 << 63), (1 << 63) - 1))]
-    for k, c in zip(range(-delta_window, delta_window + 1), delta_taps(1, delta_window)[1]):
-        if c:
-            total = total + F.lit(c) * (F.coalesce(F.lag("_log", -k).over(w), ends[0]) if k < 0 else F.coalesce(F.lead("_log", k).over(w), ends[1]))
-    d = d.withColumn("_delta", total * delta_pitch_scale + (F.randn(0) * delta_noise if delta_noise else 0.0))
+    noise = F.lit(0.0)
+    if delta_noise:  # normal, drawn by item and frame, so a task run again draws the same
+        u = [(F.pmod(F.xxhash64("item", "frame", F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in (1, 2)]
+        noise = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1]) * delta_noise
+    d = pitch.withColumns({"_pov": pov_of_nccf(nccf) * pov_scale / 2 + pov_offset, "_w": probability_of_nccf(nccf), "_log": F.log(F.greatest(p, F.lit(1e-10)))})
     cols = [c for c, on in (("_pov", add_pov), ("_norm", add_normalized), ("_delta", add_delta), ("_log", add_raw)) if on]
-    vec = F.array(*(F.coalesce(F.lag(c, delay).over(w), F.first(c).over(w.rowsBetween(-(1 << 63), (1 << 63) - 1))) if delay else F.col(c) for c in cols))
-    return own(d.withColumn("_out", vec)).select("item", "frame", F.col("_out").alias("vec"))
+
+    def build(d, w):
+        near, whole = w.rowsBetween(-left, right), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        total, first, last = F.lit(0.0), F.first("_log").over(whole), F.last("_log").over(whole)
+        for k, c in zip(range(-delta_window, delta_window + 1), delta_taps(1, delta_window)[1]):
+            if c:
+                total = total + F.lit(c) * (F.coalesce(F.lag("_log", -k).over(w), first) if k < 0 else F.coalesce(F.lead("_log", k).over(w), last))
+        d = d.withColumns({"_norm": (F.col("_log") - F.sum(F.col("_w") * F.col("_log")).over(near) / F.sum("_w").over(near)) * pitch_scale, "_delta": total * delta_pitch_scale + noise})
+        vec = F.array(*(F.coalesce(F.lag(c, delay).over(w), F.first(c).over(whole)) if delay else F.col(c) for c in cols))
+        return d.withColumn("_out", vec)
+
+    reach = max(left, right, delta_window) + abs(delay)
+    return windowed(d, max(reach, 1), build).select("item", "frame", F.col("_out").alias("vec"))
 
 
 def crepe_post(pitch: DataFrame, pitch_scale: float = 2.0, delta_pitch_scale: float = 10.0, **more) -> DataFrame:

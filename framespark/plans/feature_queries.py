@@ -50,18 +50,11 @@ def is_close(spark, d):
     return X.is_close(a, b)
 
 
-_CONCAT = _F + ", a AS (SELECT item, frame, vec[1:3] AS u FROM fea), b AS (SELECT item, frame, vec[4:8] AS v FROM fea WHERE item NOT LIKE 'mon%') SELECT a.item, a.frame, list_transform(list_concat(u, v), lambda x: round(x::DOUBLE + 1e-7::DOUBLE, 4) + 0.0) AS vec FROM a JOIN b USING (item, frame)"
+_CONCAT = _F + ", a AS (SELECT item, frame, vec[1:3] AS u FROM fea), b AS (SELECT item, frame, vec[4:8] AS v FROM fea) SELECT a.item, a.frame, list_transform(list_concat(u, v), lambda x: round(x::DOUBLE + 1e-7::DOUBLE, 4) + 0.0) AS vec FROM a JOIN b USING (item, frame)"
 
 
 @R.query(_CONCAT)
 def concat_positional(spark, d):
-    f = views.features(spark, d).where("item not like 'mon%'")
-    return _vec(X.concatenate(f.withColumn("vec", F.slice("vec", 1, 3)), f.withColumn("vec", F.slice("vec", 4, 5))))
-
-
-@R.query()
-def concat_positional_all(spark, d):
-    """``concat_positional`` over all items, the long monitor's too."""
     f = views.features(spark, d)
     return _vec(X.concatenate(f.withColumn("vec", F.slice("vec", 1, 3)), f.withColumn("vec", F.slice("vec", 4, 5))))
 
@@ -243,39 +236,27 @@ def sliding_cmvn_causal(spark, d):
     return _vec(C.sliding(views.features(spark, d), False, 60, 20), 3)
 
 
-def _delta(order: int) -> str:
+def _delta(order: int, source: str = "fea") -> str:
     taps = X.delta_taps(order, 2)
     reach = 2 * order
-    rows = [f"CASE WHEN r + ({k}) < 1 THEN 1 WHEN r + ({k}) > n THEN n ELSE r + ({k}) END" for k in range(-reach, reach + 1)]
+    near = [f"vec AS v{reach}" if not k else f"coalesce(lag(vec, {-k}) OVER w, first_value(vec) OVER w) AS v{k + reach}" if k < 0 else f"coalesce(lead(vec, {k}) OVER w, last_value(vec) OVER w) AS v{k + reach}" for k in range(-reach, reach + 1)]
     outs = []
     for t in taps:
         half = len(t) // 2
-        outs.append("list_transform(range(1, len(v[r]) + 1), lambda i: round(" + " + ".join(f"({c!r}::DOUBLE) * v[{rows[j - half + reach]}][i]::DOUBLE" for j, c in enumerate(t)) + " + 1e-7::DOUBLE, 4) + 0.0)")
+        outs.append("list_transform(range(1, len(vec) + 1), lambda i: round(" + " + ".join(f"({c!r}::DOUBLE) * v{j - half + reach}[i]::DOUBLE" for j, c in enumerate(t)) + " + 1e-7::DOUBLE, 4) + 0.0)")
     joined = outs[0]
     for o in outs[1:]:
         joined = f"list_concat({joined}, {o})"
-    return _F + f", w AS (SELECT item, list(vec ORDER BY frame) AS v, list(frame ORDER BY frame) AS f, count(*) AS n FROM fea WHERE item NOT LIKE 'mon%' GROUP BY item), x AS (SELECT item, v, f, n, unnest(range(1, n + 1)) AS r FROM w) SELECT item, f[r] AS frame, {joined} AS vec FROM x"
+    return f", n AS (SELECT item, frame, vec, {', '.join(near)} FROM {source} WINDOW w AS (PARTITION BY item ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT item, frame, {joined} AS vec FROM n"
 
 
-@R.query(_delta(1))
+@R.query(_F + _delta(1))
 def delta_1(spark, d):
-    return _vec(X.delta(views.features(spark, d).where("item not like 'mon%'"), 1))
-
-
-@R.query(_delta(2))
-def delta_2(spark, d):
-    return _vec(X.delta(views.features(spark, d).where("item not like 'mon%'"), 2))
-
-
-@R.query()
-def delta_1_all(spark, d):
-    """``delta_1`` over all items, the long monitor's too."""
     return _vec(X.delta(views.features(spark, d), 1))
 
 
-@R.query()
-def delta_2_all(spark, d):
-    """``delta_2`` over all items, the long monitor's too."""
+@R.query(_F + _delta(2))
+def delta_2(spark, d):
     return _vec(X.delta(views.features(spark, d), 2))
 
 
@@ -324,26 +305,19 @@ def abx_mean_of_means(spark, d):
 @R.query(_F + ", p AS (SELECT item, vec[3]::DOUBLE AS p, lag(vec[3]::DOUBLE) OVER (PARTITION BY item ORDER BY frame) AS t FROM fea) SELECT item, round(avg(abs(p - t)), 4) AS mae, round(100 * avg(CASE WHEN abs(p - t) > 0.05 * t THEN 1.0 ELSE 0.0 END), 4) AS ger FROM p WHERE p > 0 AND t > 0 GROUP BY item")
 def pitch_mae_ger(spark, d):
     """Error of pitch against the frame before: mean, and share beyond 5 %."""
-    from framespark.operators.blocks import blocked, over, own
+    from framespark.operators.blocks import windowed
 
     f = views.features(spark, d).select("item", "frame", F.get("vec", F.lit(2)).cast("double").alias("p"))
-    f = own(blocked(f, 64).withColumn("t", F.lag("p").over(over()))).where("p > 0 and t > 0")
+    f = windowed(f, 1, lambda x, w: x.withColumn("t", F.lag("p").over(w))).where("p > 0 and t > 0")
     off = F.abs(F.col("p") - F.col("t"))
     return f.groupBy("item").agg(F.round(F.avg(off), 4).alias("mae"), F.round(100 * F.avg((off > 0.05 * F.col("t")).cast("double")), 4).alias("ger"))
 
 
-@R.query(_NORM.format("", "(x - m) / s").replace(_BACK.format(4), ", v AS (SELECT item, frame, list(y ORDER BY dim) AS vec FROM y GROUP BY item, frame), w AS (SELECT item, list(vec ORDER BY frame) AS v, list(frame ORDER BY frame) AS f, count(*) AS n FROM v WHERE item NOT LIKE 'mon%' GROUP BY item), x AS (SELECT item, v, f, n, unnest(range(1, n + 1)) AS r FROM w)"
-  " SELECT item, f[r] AS frame, list_transform(list_concat(v[r], list_transform(range(1, 9), lambda i: -0.2::DOUBLE * v[greatest(r - 2, 1)][i] - 0.1::DOUBLE * v[greatest(r - 1, 1)][i] + 0.1::DOUBLE * v[least(r + 1, n)][i] + 0.2::DOUBLE * v[least(r + 2, n)][i])), lambda z: round(z + 1e-7::DOUBLE, 4) + 0.0) AS vec FROM x"))
+@R.query(_NORM.format("", "(x - m) / s").replace(_BACK.format(4), ", v AS (SELECT item, frame, list(y ORDER BY dim) AS vec FROM y GROUP BY item, frame)") + _delta(1, "v"))
 def pipeline_cmvn_delta(spark, d):
     """Normalised over the collection, then with first derivatives."""
     f = views.features(spark, d)
-    return _vec(X.delta(C.cmvn(f).where("item not like 'mon%'"), 1))
-
-
-@R.query()
-def pipeline_cmvn_delta_all(spark, d):
-    """``pipeline_cmvn_delta`` with derivatives of all items, the long monitor's too."""
-    return _vec(X.delta(C.cmvn(views.features(spark, d)), 1))
+    return _vec(X.delta(C.cmvn(f), 1))
 
 
 @R.query(f"WITH {META} SELECT sample_rate, nchannels, count(*) AS files, count(*) FILTER (WHERE nchannels <> 1) AS not_mono FROM meta GROUP BY sample_rate, nchannels")

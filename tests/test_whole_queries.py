@@ -40,10 +40,10 @@ def normal(x, items):
 
 
 WHOLE = {
-    "concat_positional_all": lambda x, items: x,
-    "delta_1_all": lambda x, items: derived(x, 1),
-    "delta_2_all": lambda x, items: derived(x, 2),
-    "pipeline_cmvn_delta_all": lambda x, items: derived(normal(x, items), 1),
+    "concat_positional": lambda x, items: x,
+    "delta_1": lambda x, items: derived(x, 1),
+    "delta_2": lambda x, items: derived(x, 2),
+    "pipeline_cmvn_delta": lambda x, items: derived(normal(x, items), 1),
 }
 
 
