@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framespark.functions.identity import NOBODY
-from framespark.operators.plausible import flags, implausible
+from framespark.operators.plausible import flags, implausible, innovations
 from framespark.operators.sessions import session_openers, speaker_totals
 from framespark.operators.shred import entity, field_arrays, links, number_arrays, record_key, shred
 from framespark.plans.cuts import cut
@@ -52,6 +52,11 @@ def p3_nodes(spark, d):
     return shred(table(spark, d, "feature_props"), "props_id", "properties")
 
 
+def p5_method(spark, d):
+    """The filter alone over the whole table: withheld readings and vanishing innovations, without exact checks, ranges and grid."""
+    return innovations(table(spark, d, "features"))
+
+
 def p5_found(spark, d):
     return implausible(table(spark, d, "features")).distinct()
 
@@ -74,6 +79,7 @@ QUERIES = {
     "p3_gaussians": _entity("gaussians", g="int", weight="double", mean="double"),
     "p3_candidates": _entity("candidates", lag="int", score="double"),
     "p3_stats": p3_stats,
+    "p5_method": p5_method,
     "p5_found": p5_found,
     "p5_flags": p5_flags,
 }

@@ -41,15 +41,46 @@ def test_planted(spark):
     assert "time" in got["a", 162] and not [k for k in got if k[0] == "b"]
 
 
-def test_blocks_agree_with_the_whole(spark, monkeypatch):
+def lengthy(n=6000):
     def edit(v, t0, t1):
-        for f in range(40, 3000, 97):
+        for f in range(40, n, 97):
             v[f, 3] += 80
-        v[508:516, 4] = v[508, 4]
+        v[2044:2052, 4] = v[2044, 4]
+        v[:, 6] *= np.where(np.arange(n) < 1000, 0.01, 1.0)  # quiet at first: the scatter is the whole item's
+        v[500, 6] += 2
+        t0[2048:2560] += 5
+        t1[2048:2560] += 5
+        t0[n - 10], t1[n - 10] = t0[n - 10] - 2, t1[n - 10] - 2
+
+    return item("long", n, 5, edit)
+
+
+def test_blocks_agree_with_the_whole(spark, monkeypatch):
+    """An item of three blocks is judged as it is when it is one block: same variances, scatter and grid, and nothing lost at seams."""
+    rows = lengthy()
+    got = flagged(spark, rows + item("short", 100, 9))
+    frame, t0, t1, vec = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
+    monkeypatch.setattr(P, "BLOCK", 1 << 20)
+    vec = vec.astype(np.float32).astype(float)
+    (want,) = P.judge([P.Part("long", 0, frame, t0, t1, np.ones(len(rows), bool), vec, np.ones(vec.shape, bool))], False)
+    assert {k for k in P.REASONS if want[k].any()} == {"spike", "stuck", "time"}
+    assert got == {("long", f): r for f in range(len(rows)) if (r := {k for k in P.REASONS if want[k][f]})}
+    assert {f for (_, f), r in got.items() if "time" in r} == set(range(2048, 2560)) | {5990}
+    assert {f for (_, f), r in got.items() if "stuck" in r} == set(range(2044, 2052))
+    assert {f for (_, f), r in got.items() if "spike" in r} == set(range(40, 6000, 97))
+
+
+def test_any_width(spark):
+    rows = [(i, f, t0, t1, v + [float(np.sin(f * 1.7)) + (40.0 if f == 60 else 0.0)] if i == "w" else v[:k], at, x) for i, k in (("w", 8), ("one", 1), ("two", 2), ("none", 0)) for _, f, t0, t1, v, at, x in item(i, 120, 11)]
+    assert flagged(spark, rows) == {("w", 60): {"spike"}}
+
 
-    rows = item("long", 3000, 5, edit)
-    got = {f for _, f in flagged(spark, rows)}
-    assert got == set(range(40, 3000, 97)) | set(range(508, 516))
+def test_the_filter_alone(spark):
+    """What the filter marks by itself: every spike and stuck run, besides what only it takes for one."""
+    rows = lengthy(3000)
+    sure = {k: r for k, r in flagged(spark, rows).items()}
+    alone = {(r.item, r.frame): r for r in P.innovations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(alone[k].withheld for k, r in sure.items() if "spike" in r) and all(alone[k].vanishing for k, r in sure.items() if "stuck" in r)
 
 
 def test_repeats_order_and_nulls(spark):
@@ -69,4 +100,6 @@ def test_kernels():
     assert held[0, 100] and held.sum() < 6 and abs(z).mean() < 1.5
     x = np.ones((1, 9))
     assert P.equal_runs(x, 8).all() and not P.equal_runs(x, 10).any()
-    assert not P.spikes(np.full((2, 50), 3.0)).any() and not P.spikes(np.full((1, 50), np.nan)).any()
+    assert not any(a.any() for v in (3.0, np.nan) for a in P.spikes(np.full((2, 50), v)))
+    assert P.vanished(x, np.ones(1)).all() and not P.vanished(np.arange(20.0)[None, :], np.ones(1)).any()
+    assert P.of_bin(P.binned(np.array([0.0])))[0] == 0 and abs(np.log2(P.of_bin(P.binned(np.array([3.0, 1e-30, 1e30]))) / [3.0, 1e-30, 1e30])).max() <= 0.5 / P.BINS + 1e-6
