@@ -1,6 +1,9 @@
 import json
 
-from framespark.operators.shred import entity, links, number_arrays, record_key, shred
+import pytest
+
+from framespark.operators.shred import entity, links, number_arrays, parse, paths, records, shred
+from framespark.plans.cuts import cut
 
 SCHEMA = "props_id bigint, properties string, node string, owner int"
 
@@ -10,7 +13,8 @@ def frame(spark, texts):
 
 
 def found(df):
-    return sorted((r.props_id if r.props_id is not None else -1, r.child_path, r.parent_path) for r in links(shred(df, "props_id", "properties"), "props_id").collect())
+    nodes = cut(shred(df, "props_id", "properties"), "nodes")
+    return sorted((r.props_id if r.props_id is not None else -1, r.child_path, r.parent_path) for r in links(paths(nodes, "props_id"), "props_id").collect())
 
 
 def test_paths(spark):
@@ -31,12 +35,31 @@ def test_wrapped_and_unreadable(spark):
 
 def test_entities(spark):
     p = {"pipeline": [{"name": "mfcc", "columns": [0, 12]}, None, {"name": 3}], "cmvn": {"stats": [[1.5, 2], [], [3]]}, "gaussians": [{"weight": "x"}]}
-    nodes = shred(frame(spark, [(1, p), (2, {}), (None, p)]), "props_id", "properties")
-    steps = {(r.props_id, r.ordinal): (r.name, r.path, r.owner) for r in entity(nodes, "props_id", "pipeline", {"name": "string"}).collect()}
-    assert steps == {(k, i): (n, f"pipeline[{i}]", 0) for k in (1, None) for i, n in ((0, "mfcc"), (2, "3"))}
-    assert [r.weight for r in entity(nodes, "props_id", "gaussians", {"weight": "double"}).collect()] == [None, None]
-    cells = sorted((r.row, r.col, r.value) for r in number_arrays(nodes, "props_id", "stats").where("props_id = 1").collect())
-    assert cells == [(0, 0, 1.5), (0, 1, 2.0), (2, 0, 3.0)]
+    nodes = cut(shred(frame(spark, [(1, p), (2, {}), (None, p)]), "props_id", "properties"), "nodes")
+    placed = paths(nodes, "props_id")
+    linked = links(placed, "props_id")
+    steps = {(r.props_id, r.ordinal): (r.name, r.path, r.parent_path) for r in entity(nodes, linked, "props_id", "pipeline", {"name": "string"}).collect()}
+    assert steps == {(k, i): (n, f"pipeline[{i}]", "$") for k in (1, None) for i, n in ((0, "mfcc"), (2, "3"))}
+    assert [r.weight for r in entity(nodes, linked, "props_id", "gaussians", {"weight": "double"}).collect()] == [None, None]
+    cells = sorted((r.path, r.row, r.col, r.value) for r in number_arrays(nodes, placed, "props_id", "stats").where("props_id = 1").collect())
+    assert cells == [("cmvn.stats", 0, 0, 1.5), ("cmvn.stats", 0, 1, 2.0), ("cmvn.stats", 2, 0, 3.0)]
+
+
+def test_depth(spark):
+    """Deeper than the parser's own stack: read, numbered and linked; broken at depth is unreadable."""
+    deep = 300
+    nested = '{"a":[' * deep + "1" + "]}" * deep
+    got = found(frame(spark, [(1, nested), (2, nested[:-1])]))
+    assert len(got) == deep - 1 and max(got, key=lambda r: len(r[1]))[1:] == ("a[0]" + ".a[0]" * (deep - 2), ("a[0]" + ".a[0]" * (deep - 3)))
+    very = 200_000
+    value = parse("[" * very + '{"x": [1, -2.5e3, "q\\"]", null, true, {}, []]}' + "]" * very)
+    for _ in range(very):
+        (value,) = value
+    assert value == {"x": [1, -2500.0, 'q"]', None, True, {}, []]}
+    for wrong in ("]", ',"x"]', '{"a" 1}', "{1: 2}", "[1 2]", "[tru]", ""):
+        with pytest.raises(ValueError):
+            parse("[" * very + wrong)
+    assert shred(frame(spark, [(1, "[" * very + "]" * very)]), "props_id", "properties").count() == very
 
 
 def test_nodes_rebuild_the_record(spark):
@@ -52,9 +75,16 @@ def test_nodes_rebuild_the_record(spark):
     assert made[0] == p
 
 
-def test_repeats_written_differently(spark):
+def test_repeats(spark):
+    """A record written in two ways, each many times: numbered apart, joined once."""
     a = {"x": {"y": 1}, "bands": [{"low": 1}], "q": {"warps": [{"w": 2}]}}
     b = dict(reversed(a.items()))
-    d = record_key(frame(spark, [(1, a), (1, b), (1, a)]), "props_id", "properties")
-    got = links(shred(d, "record", "properties"), "record").select("record.props_id", "child_path", "parent_path").distinct().collect()
-    assert sorted(map(tuple, got)) == [(1, "bands[0]", "$"), (1, "q.warps[0]", "q")]
+    d = records(frame(spark, [(1, a), (1, b)] * 300 + [(None, None)] * 5), "props_id", "properties")
+    assert d.count() == 3
+    nodes = cut(shred(d, "record", "properties"), "nodes")
+    got = links(paths(nodes, "record"), "record").select("record.props_id", "child_path", "parent_path").collect()
+    assert sorted(map(tuple, got)) == [(1, "bands[0]", "$")] * 2 + [(1, "q.warps[0]", "q")] * 2
+
+
+def test_root_arrays(spark):
+    assert found(frame(spark, [(1, [{"a": [{}]}, [{}]])])) == [(1, "$[0]", "$"), (1, "$[0].a[0]", "$[0]"), (1, "$[1][0]", "$")]
