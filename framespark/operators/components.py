@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framespark.plans.cuts import cut
+from framespark.plans.cuts import cut, discard
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -21,21 +21,27 @@ def _small(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and nothing below it, or is a centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    sums = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not sums.where("down > 1 or (down = 1 and up = 1)").take(1)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` of every node of the undirected ``edges(a, b)`` of BIGINT; a component is named by its least node.
 
-    Each round is two joins over edges and is written before the next, so lineage stays short. Rounds grow with the logarithm
-    of the components' diameter. A hub's edges, two numbers each, are split between tasks by adaptive execution. Loops and repeats are allowed; an empty table has no nodes.
+    Each round is two joins over edges and is written before the next, so lineage stays short; the files of the round before are deleted. Rounds grow with the logarithm
+    of the components' diameter and end when all edges are stars. A hub's edges, two numbers each, are split between tasks by adaptive execution. Loops and repeats are allowed; an empty table has no nodes.
     """
-    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    now = cut(edges.where("a != b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).distinct(), "edges")
-    mark = None
+    edges = cut(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).distinct(), "edges")
+    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(most_rounds):
-        now = cut(_small(_large(now)), "edges")
-        r = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (r.n, r.h) == mark:
+        if _stars(now):
             break
-        mark = (r.n, r.h)
+        last, now = now, cut(_small(_large(now)), "edges")
+        discard(last)
     else:
         raise RuntimeError("components have not settled")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

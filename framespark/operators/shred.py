@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framespark.plans.cuts import cut
+from framespark.plans.cuts import cut, discard
 
 #: Fields that hold arrays of objects, where a single object stands for its element 0.
 OBJECT_ARRAYS = ("pipeline", "bands", "channels", "iterations", "warps", "gaussians")
@@ -199,7 +199,8 @@ def paths(nodes: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
         above = now.select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("owner").alias("_owner"))
         joined = now.where("up >= 0").join(above, F.col(key).eqNullSafe(F.col("_key")) & (F.col("up") == F.col("_node")))
         higher = joined.select(key, "node", "parent", "label", "ordinal", "kind", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.coalesce("owner", "_owner").alias("owner"))
-        now = cut(now.where("up < 0").unionByName(higher), "paths")
+        last, now = now, cut(now.where("up < 0").unionByName(higher), "paths")
+        discard(last)
         if not now.where("up >= 0").take(1):
             break
     else:
