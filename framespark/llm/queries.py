@@ -6,16 +6,22 @@ from framespark.llm.bpe import count_tokens, encode
 from framespark.llm.packing import container_use, pack_documents
 from framespark.llm.pieces import found_pauses, piece_samples, pieces
 from framespark.llm.sentences import sentences, train
-from framespark.llm.splits import grouped_splits, shared_pairs
+from framespark.llm.splits import grouped_splits, membership, shared_pairs
 from framespark.sources.tables import table
+from framespark.sources.views import UTT
+
+
+def p1_method(spark, d):
+    """The splits themselves: components, bundles, flow, rounding, members by hash."""
+    return grouped_splits(table(spark, d, "utterances"))
 
 
 def p1_found(spark, d):
-    return shared_pairs(grouped_splits(table(spark, d, "utterances"))[1])
+    return shared_pairs(membership(table(spark, d, "utterances")))
 
 
-def p1_splits(spark, d):
-    return grouped_splits(table(spark, d, "utterances"))[0]
+def p1_members(spark, d):
+    return membership(table(spark, d, "utterances"))
 
 
 def p4_found(spark, d):
@@ -61,8 +67,9 @@ def p8_sentences(spark, d):
 
 
 QUERIES = {
+    "p1_method": p1_method,
     "p1_found": p1_found,
-    "p1_splits": p1_splits,
+    "p1_members": p1_members,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p4_samples": p4_samples,
@@ -74,4 +81,16 @@ QUERIES = {
     "p8_sentences": p8_sentences,
 }
 
-ORACLE: dict[str, str] = {}
+#: Speakers by their least utterance, and who reaches whom over shared files.
+_REACHED = f"""
+WITH RECURSIVE {UTT},
+s AS (SELECT speaker, min(utt_id) AS sid FROM utt WHERE speaker IS NOT NULL GROUP BY speaker),
+p AS (SELECT DISTINCT sid, audio_file FROM utt JOIN s USING (speaker) WHERE audio_file IS NOT NULL),
+e AS (SELECT DISTINCT x.sid AS a, y.sid AS b FROM p x JOIN p y USING (audio_file)),
+r AS (SELECT sid AS a, sid AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": _REACHED + "SELECT a AS utt_a, b AS utt_b FROM r WHERE a < b",
+    "p1_members": _REACHED + "SELECT a AS sid, min(b) AS component FROM r GROUP BY a",
+}

@@ -5,7 +5,7 @@ equal size and label profile are interchangeable and make a bundle. Bundles with
 into the same splits are one source of a flow network of constant size: sources -> (profile, split) ->
 split -> sink, where exceeding a split's share of a profile, or its quota, costs per record. Successive shortest
 paths solve it; the flow is rounded to whole components, largest first, the remainders carried
-over; within a bundle, components go to splits by the rank of their hash.
+over; within a bundle, components go to splits by the rank of their hash. Which speakers must share a split follows from the components alone.
 """
 
 from __future__ import annotations
@@ -119,35 +119,36 @@ def allocate(bundles: list[tuple[int, int, int]], shares: dict[str, float]) -> d
     return out
 
 
-def related(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, speakers): ``utt_id, spk, file, timed`` of the holding rows, and ``sid, spk, component`` of each speaker.
+def speakers(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(speakers, files): ``sid, spk, component`` of each speaker, ``file, component`` of each file with a speaker.
 
     A speaker's number is their least ``utt_id``. Each file links its speakers to the least of them, so a
     file of any number of speakers costs as many links.
     """
-    held = holding_rows(utterances, "speaker", "audio_file", "tstart")
-    rows = cut(held.select("utt_id", speaker_key(F.col("speaker")).alias("spk"), file_key(F.col("audio_file")).alias("file"), F.col("tstart").isNotNull().alias("timed")), "related")
-    both = cut(rows.where("spk is not null").groupBy("spk", "file").agg(F.min("utt_id").alias("u")), "pairs")
-    speakers = both.groupBy("spk").agg(F.min("u").alias("sid"))
-    pairs = both.where("file is not null").select("spk", "file").join(speakers, "spk").select("file", "sid")
+    held = holding_rows(utterances, "speaker", "audio_file").select("utt_id", speaker_key(F.col("speaker")).alias("spk"), file_key(F.col("audio_file")).alias("file"))
+    both = cut(held.where("spk is not null").groupBy("spk", "file").agg(F.min("utt_id").alias("u")), "pairs")
+    least_of = both.groupBy("spk").agg(F.min("u").alias("sid"))
+    pairs = cut(both.where("file is not null").select("spk", "file").join(least_of, "spk").select("file", "sid"), "linked")
     least = pairs.groupBy("file").agg(F.min("sid").alias("b"))
     edges = pairs.join(least, "file").select(F.col("sid").alias("a"), "b")
-    comps = components(edges.distinct())
-    found = speakers.join(comps, speakers["sid"] == comps["node"], "left").select("sid", "spk", F.coalesce("component", "sid").alias("component"))
+    comps = cut(components(edges), "components")
+    found = least_of.join(comps, least_of["sid"] == comps["node"], "left").select("sid", "spk", F.coalesce("component", "sid").alias("component"))
     files = least.join(comps, least["b"] == comps["node"]).select("file", "component")
-    return rows, cut(found, "speakers"), cut(files, "files")
+    return found, files
 
 
-def grouped_splits(utterances: DataFrame, shares: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, speakers), each with ``component`` and ``split``.
+def grouped_splits(utterances: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """``utt_id, component, split``, one per utterance.
 
-    Records: ``utt_id, component, split``, one per utterance. A component is named after its least speaker's
+    A component is named after its least speaker's
     number; one without a speaker after its file (``file:``), and a record with neither stands alone (``utt:``). Null
     labels and paths link nothing. An empty table gives no rows; extra columns are ignored.
     """
     shares = shares or SHARES
-    rows, speakers, files = related(utterances)
-    of_speaker = speakers.select("spk", F.col("component").cast("string").alias("c1"))
+    held = holding_rows(utterances, "speaker", "audio_file", "tstart")
+    rows = cut(held.select("utt_id", speaker_key(F.col("speaker")).alias("spk"), file_key(F.col("audio_file")).alias("file"), F.col("tstart").isNotNull().alias("timed")), "related")
+    people, files = speakers(utterances)
+    of_speaker = people.select("spk", F.col("component").cast("string").alias("c1"))
     of_file = files.select("file", F.col("component").cast("string").alias("c2"))
     named = balanced_join(rows.where("spk is not null"), of_speaker, "spk").select("utt_id", "timed", F.col("c1").alias("component"))
     nobody = rows.where("spk is null")
@@ -165,17 +166,27 @@ def grouped_splits(utterances: DataFrame, shares: dict[str, float] | None = None
     ranked = hash_rank(comps, ["size", "profile"], "component", sizes=counted)
     chosen = reduce(lambda c, i: c.when(F.col("rank") < F.col(f"_u{i}"), names[i]), range(len(names)), F)
     placed = cut(ranked.join(until, ["size", "profile"]).select("component", chosen.alias("split")), "placed")
-    out = balanced_join(records.select("utt_id", "component"), placed, "component").select("utt_id", "component", "split")
-    people = speakers.withColumn("component", F.col("component").cast("string")).join(placed, "component").select("sid", "component", "split")
-    return out, people
+    return balanced_join(records.select("utt_id", "component"), placed, "component").select("utt_id", "component", "split")
+
+
+def membership(utterances: DataFrame) -> DataFrame:
+    """``sid, component`` of every speaker: speakers of one component must share a split. One row per speaker, however many they share it with."""
+    return speakers(utterances)[0].select("sid", "component")
+
+
+#: Speakers of a component that one task pairs with all others of it.
+TOGETHER = 256
 
 
-def shared_pairs(people: DataFrame) -> DataFrame:
-    """``utt_a, utt_b``: every two speakers of one component, which therefore share its split.
+def shared_pairs(members: DataFrame) -> DataFrame:
+    """``utt_a, utt_b``: every two speakers of one component, ``members`` being ``sid, component``.
 
-    The pairs are what is asked for, so their number is the result's. Each row of the smaller number is matched
-    by equality of component and split.
+    The pairs are what is asked for, so their number is the result's; ``membership`` says the same in a row per speaker. A component of many speakers is
+    cut into shards of about ``TOGETHER``, each of which meets all its speakers in a task of its own.
     """
-    a = people.select(F.col("sid").alias("utt_a"), "component", "split")
-    b = people.select(F.col("sid").alias("utt_b"), "component", "split")
-    return a.join(b, ["component", "split"]).where("utt_a < utt_b").select("utt_a", "utt_b")
+    members = cut(members, "members")
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_shards"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    m = members.join(sizes, "component")
+    a = m.select(F.col("sid").alias("utt_a"), "component", F.pmod(F.xxhash64("sid"), "_shards").alias("_shard"))
+    b = m.select(F.col("sid").alias("utt_b"), "component", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"))
+    return a.join(b, ["component", "_shard"]).where("utt_a < utt_b").select("utt_a", "utt_b")

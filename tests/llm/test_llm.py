@@ -46,7 +46,8 @@ def test_splits(spark):
     rows = [utt(i, r.choice([f"spk {r.randint(1, 150)}", f"SPK_{r.randint(1, 150)}", None, "unknown"]), r.choice([None, f"d/{r.randint(1, 400)}.wav", f"./d/{r.randint(1, 400)}.wav"]), tstart=r.choice([None, 1.0])) for i in range(1, 700)]
     rows += [utt(i, "Hot", f"h/{i}.wav") for i in range(1000, 1500)] + [utt(5, "moved", "m.wav", 9)] + rows[:30] + [(None,) + utt(1, "q", "q")[1:]]
     held, find, least = linked(rows)
-    records, people = splits.grouped_splits(spark.createDataFrame(rows, UTTS))
+    df = spark.createDataFrame(rows, UTTS)
+    records, people = splits.grouped_splits(df), splits.membership(df)
     got = {x.utt_id: (x.component, x.split) for x in records.collect()}
     assert set(got) == set(held)
     mine, theirs = {}, {}
@@ -66,8 +67,16 @@ def test_splits(spark):
 
 
 def test_splits_of_nothing(spark):
-    records, people = splits.grouped_splits(spark.createDataFrame([], UTTS))
-    assert records.count() == 0 and splits.shared_pairs(people).count() == 0
+    none = spark.createDataFrame([], UTTS)
+    assert splits.grouped_splits(none).count() == 0 and splits.shared_pairs(splits.membership(none)).count() == 0
+
+
+def test_pairs_of_a_large_component(spark):
+    """More speakers than one task pairs: every pair comes out once."""
+    n = 3 * splits.TOGETHER + 7
+    rows = [(i, 0) for i in range(n)] + [(5000, 1), (5001, 1), (6000, 2)]
+    got = [(r.utt_a, r.utt_b) for r in splits.shared_pairs(spark.createDataFrame(rows, "sid bigint, component bigint")).collect()]
+    assert len(got) == len(set(got)) == n * (n - 1) // 2 + 1 and (5000, 5001) in got
 
 
 def test_allocation():
@@ -292,7 +301,42 @@ def test_sentences_of_tables(spark):
     assert sentences.sentences(df.limit(0), sentences.train(df.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p4_found", "p4_pieces", "p7_packs", "p8_found"])
+SQL = sorted(queries.ORACLE)
+
+
+@pytest.fixture(scope="module")
+def duck(data):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("utterances", "documents", "signals"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", SQL)
+def test_matches_sql(spark, data, duck, name):
+    df = queries.QUERIES[name](spark, data)
+    cols = sorted(df.columns)
+    r = duck.execute(queries.ORACLE[name])
+    own = [x[0] for x in r.description]
+    assert sorted(own) == cols
+    assert sorted(tuple(x[c] for c in cols) for x in df.collect()) == sorted(tuple(x[own.index(c)] for c in cols) for x in r.fetchall())
+
+
+def test_splits_of_the_table(spark, data):
+    """Every holding utterance once, near the quotas, no component and no pair of p1_found in two splits."""
+    got = queries.QUERIES["p1_method"](spark, data).collect()
+    n = spark.read.parquet(f"{data}/utterances.parquet").select("utt_id").distinct().count()
+    assert len(got) == len({r.utt_id for r in got}) == n
+    of = {}
+    assert all(of.setdefault(r.component, r.split) == r.split for r in got)
+    split = {r.utt_id: r.split for r in got}
+    assert all(split[r.utt_a] == split[r.utt_b] for r in queries.QUERIES["p1_found"](spark, data).collect())
+    assert all(abs(sum(r.split == s for r in got) / n - q) < 0.05 for s, q in splits.SHARES.items())
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_pieces", "p7_packs", "p8_found"])
 def test_queries_run(spark, data, name):
     df = queries.QUERIES[name](spark, data)
     assert df.count() > 0 and df.where(F.col(df.columns[0]).isNull()).count() == 0
