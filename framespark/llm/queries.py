@@ -56,6 +56,11 @@ def _prose(spark, d):
     return table(spark, d, "documents").where("prose").select("doc_id", "text")
 
 
+def p8_method(spark, d):
+    """All documents, by the model of those in running text, which also searches blocks without marks between all words."""
+    return sentences(table(spark, d, "documents"), train(_prose(spark, d)), unmarked=True)
+
+
 def p8_found(spark, d):
     prose = _prose(spark, d)
     return sentences(prose, train(prose)).distinct()
@@ -77,6 +82,7 @@ QUERIES = {
     "p6_counts": p6_counts,
     "p7_packs": p7_packs,
     "p7_use": p7_use,
+    "p8_method": p8_method,
     "p8_found": p8_found,
     "p8_sentences": p8_sentences,
 }

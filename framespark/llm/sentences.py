@@ -1,20 +1,25 @@
 """Sentences across languages and scripts, by a hidden-event n-gram language model.
 
 Layout gives blocks: paragraphs, list items and headings. Within a block every gap after a mark that may end a sentence
-(and, in Thai, every blank) is a place where a boundary token may be hidden between two words. The model has the probability
+(and, in scripts without marks, every blank) is a place where a boundary token may be hidden between two words. The model has the probability
 of the event after a word, given whether an event came just before that word; the probability of a word at a
-sentence's start; and that of a word going on after another. It is trained without labels over all
-documents: ends and starts of blocks are certain events, the rest are expectations, re-estimated on counts of word types. The posteriors of
-the forward-backward algorithm over each block's gaps decide.
-
-What reaches the driver are counts of pairs and triples of at most ``LEFTS`` and ``RIGHTS`` word types (the most frequent;
-all others count under their shape), whatever the size of the corpus.
+sentence's start; and that of a word going on after another. It is trained without labels over the documents
+given: ends and starts of blocks are certain events, the rest are expectations, re-estimated on counts of word types. The posteriors of
+the forward-backward algorithm over each block's gaps decide. In a block without any mark the gaps are those between all words:
+there the event is as frequent as sentences are in the corpus, and what speaks for it are words that end blocks and words that begin them.
+
+Word types with a thousandth or more of all gaps and ends, of which there are a thousand at most, are the model's own, as are the
+shapes of all others: these are sent to the workers. The expectations are partial sums on the executors; what reaches the driver is a number or two per such type,
+and pairs of them that hold a fiftieth of their left type, fifty at most of each. Every other type has values of its own too, from its own counts and its
+shape's, in a table that is joined with the documents that have the type.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,15 +27,19 @@ from pyspark.sql import functions as F
 
 from framespark.plans.cuts import cut
 
-LEFTS, RIGHTS, ROUNDS = 400, 800, 8
-#: A word type of its own has this share of all gaps and ends, and this count, at least.
+ROUNDS = 8
+#: A type of the model's own has this share of all gaps and ends, and this count, at least; the least count of a type in the table.
 LEAST_SHARE, LEAST = 1e-3, 3
 #: What is taken off the rarer outcome of a word, and off each pair's share: words are mostly of one kind, and pairs seen seldom are errors.
 SHARPEN, DISCOUNT, EDGE = 0.1, 0.02, 0.002
+#: How many occurrences its shape's share counts for beside a rarer type's own.
+TRUST = 8.0
+#: Words that a block without marks must have to be searched between all words; how often a sentence has one word only.
+UNMARKED, SHORT = 8, 0.02
 
 #: Marks that may end a sentence; those that need no blank after them; closing and opening signs.
-MARKS = ".!?…。．！？｡।॥؟۔"
-WIDE = "。．！？｡…"
+MARKS = ".!?…。．！？｡।॥؟۔։።፧፨။༎།។៕"
+WIDE = "。．！？｡…።፧፨။།༎។៕"
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "„": "“", "«": "»", "‹": "›"}
 CLOSING = set(PAIRS.values()) | {'"', "”", "’", "`"}
 
@@ -46,7 +55,10 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\S+")
 _THAI = re.compile(r"[฀-๿]")
 _NARROW = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿＀-￯　-ヿ]")
-_SHAPES = ((re.compile(r"\d+"), "0"), (re.compile(r"[^\W\d_]\.(?:-?[^\W\d_]\.)+$"), "X.X."))
+#: Scripts that set blanks between phrases, not words: Thai, Lao, Tibetan, Myanmar, Khmer.
+_PHRASED = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]")
+#: A unit of text that a boundary may follow where there is no mark: a sign of a script without blanks with what is written about it, or a word.
+_UNIT = re.compile(r"(?:[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]|[\u2e80-\u9fff\uf900-\ufaff\u3040-\u30ff])[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ecd\u0f71-\u0fbc\u102b-\u103e\u17b4-\u17d3]*|[^\s\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff]+")
 
 
 def blocks(text: str) -> list[tuple[str, int, int]]:
@@ -142,7 +154,9 @@ def shape(word: str) -> str:
 
 
 def right_type(block: str, at: int) -> str:
-    """The type of the word that begins at ``at``: two characters where words aren't set off, else up to the blank, digits as 0."""
+    """The type of the word that begins at ``at``: two characters where words aren't set off, four where phrases are, else up to the blank, digits as 0."""
+    if _PHRASED.match(block, at):
+        return block[at : at + 4]
     if _NARROW.match(block, at) and not "가" <= block[at] <= "힯":
         return block[at : at + 2]
     word = _WORD.match(block, at)[0]
@@ -170,7 +184,9 @@ def left_type(block: str, start: int, mark: int, end: int) -> str:
 def left_shape(left: str) -> str:
     """What a rare word before a full stop counts as."""
     m = re.match(r"(.*?)(\.[^.]*)$", left)
-    body, tail = m.groups() if m else (left, "")
+    if not m or left[:1] in MARKS:
+        return left if left.startswith("<") else "mark"
+    body, tail = m.groups()
     if len(body) == 1 and body.isupper():
         return "X" + tail
     return ("0" if body[:1].isdigit() else "x.x" if "." in body or "_" in body or "/" in body else f"w{min(len(body), 4)}") + tail
@@ -185,7 +201,7 @@ def gaps(block: str) -> list[tuple[int, int, str, str, bool]]:
     size = len(block)
     inner = spans(block)
     closers = {b for _, b in inner}
-    thai = len(_THAI.findall(block)) * 3 > size
+    phrased = len(_PHRASED.findall(block)) * 3 > size
     places: list[tuple[int, int, int]] = []
     for m in _MARK.finditer(block):
         mark, end = m.start(), m.end()
@@ -200,9 +216,10 @@ def gaps(block: str) -> list[tuple[int, int, str, str, bool]]:
                 break
         if end < size and (not places or places[-1][2] < end):
             places.append((mark, m.end(), end))
-    if thai:
+    if phrased:
+        taken = {end for _, _, end in places}
         for m in _SPACE.finditer(block):
-            if 0 < m.start() and m.end() < size and (_THAI.match(block, m.start() - 1) or _THAI.match(block, m.end())):
+            if 0 < m.start() and m.end() < size and m.start() not in taken and (_PHRASED.match(block, m.start() - 1) or _PHRASED.match(block, m.end())):
                 places.append((m.start(), m.start(), m.start()))
         places.sort()
     before = 0
@@ -218,13 +235,29 @@ def gaps(block: str) -> list[tuple[int, int, str, str, bool]]:
         if nxt and block[start] in ",;:，、；：)":
             continue
         left = "<blank>" if mark == end else left_type(block, before, mark, end)
-        out.append((end, start, left, right_type(block, start), bool(out) and len(_WORD.findall(block, out[-1][1], end)) == 1))
+        out.append((end, start, left, right_type(block, start), bool(out) and len(_UNIT.findall(block, out[-1][1], end)) == 1))
         before = start
     return out
 
 
+def word_type(unit: str) -> str:
+    """The type of a word that may end or begin a sentence without a mark."""
+    return re.sub(r"\d+", "0", unit.strip("\"'“”«»()[]「」『』,;:，、；：" + MARKS).lower()) or "?"
+
+
+def between_words(block: str) -> list[tuple[int, int, str, str, bool]]:
+    """The gaps between all units of a block, as ``gaps`` gives them; left types begin with a blank."""
+    units = list(_UNIT.finditer(block))
+    inner = spans(block)
+    out = []
+    for a, b in zip(units, units[1:]):
+        if not any(x < b.start() <= y for x, y in inner):
+            out.append((a.end(), b.start(), " " + word_type(a[0]), right_type(block, b.start()), bool(out)))
+    return out
+
+
 def observed(text: str):
-    """Yields what a text tells the model: ('start', type), ('end', type), ('on', type), ('gap', left, right, left before, right before or '')."""
+    """Yields what a text tells the model: ('start', type), ('end', type), ('on', type), ('last', word), ('gap', left, right, left before, right before or '')."""
     for kind, a, b in blocks(text):
         block = text[a:b].strip()
         if not block:
@@ -242,6 +275,9 @@ def observed(text: str):
             tail += 1
         if m and tail >= len(block):
             yield "end", left_type(block, found[-1][1] if found else 0, m.start(), len(block)), "", "", ""
+            units = _UNIT.findall(block[max(0, m.start() - 40) : m.start()])
+            if units:
+                yield "last", " " + word_type(units[-1]), "", "", ""
         starts = {g[1] for g in found}
         for w in _WORD.finditer(block):
             if w.start() and w.start() not in starts:
@@ -255,41 +291,64 @@ class Model:
 
     def __init__(self, lefts: set[str], rights: set[str]):
         self.lefts, self.rights = lefts, rights
+        self.words = {word_type(t) for t in rights}
         self.event: dict[str, float] = {}
         self.event_after: dict[tuple[str, int], float] = {}
         self.first: dict[str, float] = {}
         self.on: dict[str, float] = {}
         self.after: dict[tuple[str, str], float] = {}
         self.weight: dict[str, float] = {}
+        self.last: dict[str, float] = {}
+        self.begins: dict[str, float] = {}
+        self.base = 0.1
 
     def left(self, t: str) -> str:
-        return t if t in self.lefts else left_shape(t)
+        return t if t in self.lefts or t.startswith(" ") else left_shape(t)
 
     def right(self, t: str) -> str:
         return t if t in self.rights else shape(t)
 
-    def odds(self, left: str, right: str) -> float:
-        """Probability of the right word at a start, over that of its going on after the left."""
+    def odds(self, left: str, right: str, own: float | None = None) -> float:
+        """Probability of the right word at a start, over that of its going on after the left; ``own`` is what a rarer word's own counts make of that at all."""
         s = self.first.get(right, 1e-6)
+        plain = self.on.get(right, 1e-6)
+        if own is not None:
+            plain = s / max(own, 1e-9)
         w = self.weight.get(left, 0.0)
-        c = w * self.after.get((left, right), 0.0) + (1 - w) * self.on.get(right, 1e-6)
+        c = w * self.after.get((left, right), 0.0) + (1 - w) * plain
         return s / max(c, 1e-9)
 
-    def prior(self, left: str, previous: int | None) -> float:
-        if previous is None:
-            return self.event.get(left, 0.5)
-        return self.event_after.get((left, previous), self.event.get(left, 0.5))
-
-    def posteriors(self, chain: list[tuple[str, str]]) -> list[float]:
-        """Forward-backward over gaps each of which is one word after the one before: P(event) at each."""
+    def caseless(self, right: str) -> float:
+        """How much likelier the word is to begin a sentence than to go on, whatever its case."""
+        return self.begins.get(word_type(right), self.begins.get("", 1.0))
+
+    def unmarked(self, left: str, own: float | None) -> float:
+        """The event's prior after a word without a mark: how often there is one at all, times how much likelier the word is at a sentence's end."""
+        ratio = own if own is not None else self.last.get(left[1:], self.last.get("", 1.0))
+        x = self.base / (1 - self.base) * min(max(ratio, 1e-3), 1e3)
+        return x / (1 + x)
+
+    def prior(self, left: str, previous: int | None, own: float | None = None) -> float:
+        if left.startswith(" "):
+            return SHORT * self.base if previous else self.unmarked(left, own)
+        if own is not None:
+            return own
+        some = self.event.get(left, 0.9 if left in ("mark", "<blank>") else 0.5)
+        return some if previous is None else self.event_after.get((left, previous), some)
+
+    def posteriors(self, chain: list[tuple[str, str]], lefts: dict | None = None, rights: dict | None = None) -> list[float]:
+        """Forward-backward over gaps each of which is one word after the one before: P(event) at each. ``lefts`` and ``rights`` have the values of rarer types."""
         n = len(chain)
-        odds = [self.odds(a, b) for a, b in chain]
+        lefts, rights = lefts or {}, rights or {}
+        names = [self.left(a) for a, _ in chain]
+        own = [lefts.get(a) for a, _ in chain]
+        odds = [self.caseless(b) if x.startswith(" ") and not b[:1].isupper() else self.odds(x, self.right(b), rights.get(b)) for x, (_, b) in zip(names, chain)]
         emit = [(1.0, o) if o < 1 else (1 / o, 1.0) for o in odds]
-        p = self.prior(chain[0][0], None)
+        p = self.prior(names[0], None, own[0])
         f = [((1 - p) * emit[0][0], p * emit[0][1])]
         moves = [None]
         for i in range(1, n):
-            a, b = self.prior(chain[i][0], 0), self.prior(chain[i][0], 1)
+            a, b = self.prior(names[i], 0, own[i]), self.prior(names[i], 1, own[i])
             moves.append((a, b))
             x = (f[-1][0] * (1 - a) + f[-1][1] * (1 - b)) * emit[i][0], (f[-1][0] * a + f[-1][1] * b) * emit[i][1]
             z = (x[0] + x[1]) or 1.0
@@ -307,97 +366,166 @@ class Model:
         return out
 
 
-def fit(counts: list[tuple[str, str, str, str, str, int]], lefts: set[str], rights: set[str], rounds: int = ROUNDS) -> Model:
-    """Trains on (kind, a, b, left before, right before, count), by expectation-maximisation from the certain events."""
+def _normed(c: dict[str, float], size: int) -> dict[str, float]:
+    whole = sum(c.values()) + 0.02 * size
+    return {k: (v + 0.02) / whole for k, v in c.items()}
+
+
+def begin(totals: dict[tuple[str, str], float], lefts: set[str], rights: set[str]) -> Model:
+    """The model before the first round, from the number of each (kind, type)."""
     m = Model(lefts, rights)
-    first, on, ends, total = Counter(), Counter(), Counter(), Counter()
-    windows: list[tuple[str, str, tuple[str, str] | None, int]] = []
-    for kind, a, b, x, y, n in counts:
-        if kind == "start":
-            first[m.right(a)] += n
-        elif kind == "on":
-            on[m.right(a)] += n
-        elif kind == "end":
-            ends[m.left(a)] += n
-            total[m.left(a)] += n
+    of = lambda kind: {t: n for (k, t), n in totals.items() if k == kind}
+    first, on, ends, seen = of("start"), of("on"), of("end"), of("gap")
+    types = len({*first, *on}) + 1
+    m.first, m.on = _normed(first, types), _normed(on, types)
+    for t in {*ends, *seen}:  # an end of a block speaks for the event; its absence, the more the word occurs, against it
+        e, s = ends.get(t, 0), seen.get(t, 0) + ends.get(t, 0)
+        m.event[t] = min((e + 0.5) / (0.35 * s + e + 1.0), 0.98) if t != "<blank>" else 0.9  # no block ends in a blank, so that says nothing; it sets off phrases, mostly sentences
+    return m
+
+
+def expect(m: Model, windows) -> Counter:
+    """Expected sums of (left, right, left before, right before, count): keys (what, a, b, part)."""
+    out: Counter = Counter()
+    for left, right, x, y, n in windows:
+        if not x:
+            p = m.posteriors([(left, right)])[0]
         else:
-            left = m.left(a)
-            total[left] += n
-            windows.append((left, m.right(b), (m.left(x), m.right(y)) if x else None, n))
+            q, p = m.posteriors([(x, y), (left, right)])
+            for state, share in (("0", 1 - q), ("1", q)):
+                out["N", left, state, 0] += n * share * p
+                out["N", left, state, 1] += n * share
+        out["L", left, "", 0] += n * p
+        out["L", left, "", 1] += n
+        out["R", right, "", 0] += n * p
+        out["R", right, "", 1] += n * (1 - p)
+        out["P", left, right, 0] += n * (1 - p)
+    return out
 
-    def normed(c: Counter, size: int) -> dict[str, float]:
-        whole = sum(c.values()) + 0.02 * size
-        return {k: (v + 0.02) / whole for k, v in c.items()}
 
+def update(m: Model, totals: dict[tuple[str, str], float], sums: dict[tuple[str, str, str], tuple[float, float]]) -> None:
+    """The model of the next round. Of pairs only those with more than a fiftieth of their left type count."""
+    of = lambda kind: {t: n for (k, t), n in totals.items() if k == kind}
+    ends, first, on, last = of("end"), Counter(of("start")), Counter(of("on")), of("last")
+    left = {a: v for (w, a, _), v in sums.items() if w == "L"}
+    for t in {*ends, *left}:
+        yes, seen = left.get(t, (0.0, 0.0))
+        share = (yes + ends.get(t, 0) + 0.25) / (seen + ends.get(t, 0) + 0.5)
+        m.event[t] = min(max((share - SHARPEN) / (1 - 2 * SHARPEN), EDGE), 1 - EDGE)
+    m.event_after = {(a, int(b)): (v + 2 * m.event[a]) / (n + 2) for (w, a, b), (v, n) in sums.items() if w == "N"}
     types = len({*first, *on}) + 1
-    m.first, m.on = normed(first, types), normed(on, types)
-    sure = Counter(first)
-    for t in total:  # an end of a block speaks for the event; its absence, the more the word occurs, against it
-        m.event[t] = 1.0 if t == "<blank>" else (ends[t] + 0.5) / (0.35 * total[t] + ends[t] + 1.0)
-        m.event[t] = min(m.event[t], 0.98) if t != "<blank>" else 1.0
+    for (w, a, _), (yes, no) in sums.items():
+        if w == "R":
+            first[a] += yes
+            on[a] += no
+    m.first, m.on = _normed(first, types), _normed(on, types)
+    off = {t: seen - yes for t, (yes, seen) in left.items()}
+    kept = {(a, b): d for (w, a, b), (v, _) in sums.items() if w == "P" and (d := v - 1 - DISCOUNT * off[a]) > 0}
+    over: Counter = Counter()
+    for (a, _), v in kept.items():
+        over[a] += v
+    m.after = {k: v / over[k[0]] for k, v in kept.items()}
+    m.weight = {t: over[t] / (v + 3.0) for t, v in off.items()}
+    # sentences among words; how much likelier a word is at an end than anywhere
+    words = sum(on.values()) + sum(first.values())
+    m.base = min(max((sum(first.values()) + 1) / (words + 10), 1e-3), 0.3)
+    whole = sum(last.values())
+    every: Counter = Counter()
+    for t, n in [*on.items(), *first.items()]:
+        every[word_type(t)] += n
+    starts: Counter = Counter()
+    for t, n in first.items():
+        starts[word_type(t)] += n
+    begun = max(sum(first.values()), 1.0)
+    # words that are never seen to begin anything do so the less, the more beginnings there are
+    m.begins = {t: min(max(((starts[t] + 0.05) / begun) / ((n - starts[t] + 0.5) / max(words - begun, 1.0)), 1e-3), 1e3) for t, n in every.items()} | {"": 0.3}
+    m.last = {}
+    for t, n in last.items():
+        if whole and every.get(t[1:]):
+            m.last[t[1:]] = ((n + 0.5) / (whole + 1)) / ((every[t[1:]] + 1.0) / (words + 2))
+    # words that aren't seen to end anything do so less than those that are, the less the more ends there are
+    m.last[""] = 1.0 if not whole else max(0.05, 10 / (whole + 10))
+
+
+def fit(counts: list[tuple[str, str, str, str, str, int]], lefts: set[str], rights: set[str], rounds: int = ROUNDS) -> Model:
+    """Trains on (kind, a, b, left before, right before, count) in memory; ``train`` does the same with sums on the executors."""
+    shapes = Model(lefts, rights)
+    totals: Counter = Counter()
+    windows = []
+    for kind, a, b, x, y, n in counts:
+        totals[kind, _typed(shapes, kind, a)] += n
+        if kind == "gap":
+            windows.append((shapes.left(a), shapes.right(b), shapes.left(x) if x else "", shapes.right(y) if x else "", n))
+    m = begin(totals, lefts, rights)
     for _ in range(rounds):
-        yes, seen, near = Counter(), Counter(), defaultdict(lambda: [0.0, 0.0])
-        starts, goes, pairs = Counter(sure), Counter(on), Counter()
-        for left, right, previous, n in windows:
-            if previous is None:
-                p = m.posteriors([(left, right)])[0]
-            else:
-                q, p = m.posteriors([previous, (left, right)])
-                for state, weight in ((0, 1 - q), (1, q)):
-                    near[left, state][0] += n * weight * p
-                    near[left, state][1] += n * weight
-            yes[left] += n * p
-            seen[left] += n
-            starts[right] += n * p
-            goes[right] += n * (1 - p)
-            pairs[left, right] += n * (1 - p)
-        for t in total:
-            if t != "<blank>":
-                share = (yes[t] + ends[t] + 0.25) / (seen[t] + ends[t] + 0.5)
-                m.event[t] = min(max((share - SHARPEN) / (1 - 2 * SHARPEN), EDGE), 1 - EDGE)
-        m.event_after = {k: (a + 2 * m.event[k[0]]) / (b + 2) for k, (a, b) in near.items() if k[0] != "<blank>"}
-        m.event_after |= {("<blank>", s): 1.0 for s in (0, 1)}
-        m.first, m.on = normed(starts, types), normed(goes, types)
-        off = Counter()
-        for (left, _), v in pairs.items():
-            off[left] += v
-        kept = {k: d for k, v in pairs.items() if (d := v - 1 - DISCOUNT * off[k[0]]) > 0}
-        left_over = Counter()
-        for (left, _), v in kept.items():
-            left_over[left] += v
-        m.after = {k: v / left_over[k[0]] for k, v in kept.items()}
-        m.weight = {t: left_over[t] / (v + 3.0) for t, v in off.items()}
+        sums: dict = {}
+        for (what, a, b, part), v in expect(m, windows).items():
+            now = sums.setdefault((what, a, b), [0.0, 0.0])
+            now[part] += v
+        update(m, totals, {k: tuple(v) for k, v in sums.items()})
     return m
 
 
-def sentences_of(text: str, model: Model) -> list[tuple[int, int]]:
-    """(start, end) in code points of the sentences of a text."""
-    out: list[tuple[int, int]] = []
+def _typed(m: Model, kind: str, t: str) -> str:
+    if kind == "last":
+        return t if t[1:] in m.words else " " + shape(t[1:])
+    return m.left(t) if kind in ("end", "gap") else m.right(t)
+
+
+#: A block as it is decided upon: where it begins, its length, its gaps.
+Block = tuple[int, int, list]
+
+
+def compiled(text: str, unmarked: bool) -> list[Block]:
+    """The blocks of a text with their gaps; with ``unmarked`` a block without any mark has those between all words."""
+    out: list[Block] = []
     for kind, a, b in blocks(text):
         raw = text[a:b]
         block = raw.strip()
         if not block:
             continue
         a += len(raw) - len(raw.lstrip())
-        at = 0
-        if kind != "head":
-            found = gaps(block)
-            i = 0
-            while i < len(found):
-                j = i + 1
-                while j < len(found) and found[j][4]:
-                    j += 1
-                chain = [(model.left(g[2]), model.right(g[3])) for g in found[i:j]]
-                for g, p in zip(found[i:j], model.posteriors(chain)):
-                    if p > 0.5:
-                        out.append((a + at, a + g[0]))
-                        at = g[1]
-                i = j
-        out.append((a + at, a + len(block)))
+        found = gaps(block) if kind != "head" else []
+        if unmarked and kind != "head" and not found and not _MARK.search(block):
+            every = between_words(block)
+            found = every if len(every) >= UNMARKED else []
+        out.append((a, len(block), found))
     return out
 
 
+def decided(parts: list[Block], model: Model, lefts: dict | None = None, rights: dict | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of compiled blocks."""
+    out: list[tuple[int, int]] = []
+    for a, size, found in parts:
+        at = i = 0
+        while i < len(found):
+            j = i + 1
+            while j < len(found) and found[j][4]:
+                j += 1
+            for g, p in zip(found[i:j], model.posteriors([(g[2], g[3]) for g in found[i:j]], lefts, rights)):
+                if p > 0.5:
+                    out.append((a + at, a + g[0]))
+                    at = g[1]
+            i = j
+        out.append((a + at, a + size))
+    return out
+
+
+def sentences_of(text: str, model: Model, unmarked: bool = False, lefts: dict | None = None, rights: dict | None = None) -> list[tuple[int, int]]:
+    """(start, end) in code points of the sentences of a text."""
+    return decided(compiled(text, unmarked), model, lefts, rights)
+
+
+@dataclass
+class Trained:
+    """The model that is sent to workers, and the table ``side, type, value`` of the rarer types."""
+
+    model: Model
+    rarer: DataFrame
+
+
 _COUNTS = "kind string, a string, b string, x string, y string, n bigint"
+_SUMS = "what string, a string, b string, v double, w double"
 
 
 def _counted(c: Counter) -> pa.RecordBatch:
@@ -405,8 +533,14 @@ def _counted(c: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(5)), pa.array([c[k] for k in keys], pa.int64())], ["kind", "a", "b", "x", "y", "n"])
 
 
-def train(documents: DataFrame, text: str = "text", lefts: int = LEFTS, rights: int = RIGHTS) -> Model:
-    """Counts over the documents given, then the fit. Words beyond the most frequent types count under their shapes."""
+def _summed(c: dict) -> pa.RecordBatch:
+    keys = list(c)
+    return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), *(pa.array([c[k][i] for k in keys], pa.float64()) for i in range(2))], ["what", "a", "b", "v", "w"])
+
+
+def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Trained:
+    """Counts over the documents given, then the fit by expectation-maximisation from the certain events."""
+    context = documents.sparkSession.sparkContext
 
     def run(batches):
         for batch in batches:
@@ -419,48 +553,146 @@ def train(documents: DataFrame, text: str = "text", lefts: int = LEFTS, rights:
     seen = documents.select(F.col(text).cast("string")).mapInArrow(run, _COUNTS)
     counts = cut(seen.groupBy("kind", "a", "b", "x", "y").agg(F.sum("n").alias("n")), "events")
 
-    def top(df, k):
-        whole = df.agg(F.sum("n")).first()[0] or 0
-        often = df.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST, LEAST_SHARE * whole))
-        return {r["a"] for r in often.orderBy(F.desc("n"), "a").limit(k).collect()}
-
     # ends decide which words before a mark are worth a type; starts and gaps which words after it
-    left = top(counts.where("kind in ('end', 'gap')").select("a", "n"), lefts)
-    right = top(counts.where("kind = 'start'").select("a", "n").unionByName(counts.where("kind = 'gap'").select(F.col("b").alias("a"), "n")), rights)
+    sides = counts.where("kind in ('end', 'gap')").select(F.lit("l").alias("side"), "a", "n")
+    sides = sides.unionByName(counts.where("kind = 'start'").select(F.lit("r").alias("side"), "a", "n")).unionByName(counts.where("kind = 'gap'").select(F.lit("r").alias("side"), F.col("b").alias("a"), "n"))
+    often = cut(sides.groupBy("side", "a").agg(F.sum("n").alias("n")), "types")
+    whole = {r["side"]: r["n"] for r in often.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    enough = lambda side: max(LEAST, LEAST_SHARE * whole.get(side, 0))
+    top = often.where((F.col("side") == "l") & (F.col("n") >= enough("l")) | (F.col("side") == "r") & (F.col("n") >= enough("r"))).collect()
+    left, right = ({r["a"] for r in top if r["side"] == s} for s in "lr")
+    shapes = Model(left, right)
 
     def typed(batches):
-        to_left = lambda t: t if t in left or not t else left_shape(t)
-        to_right = lambda t: t if t in right or not t else shape(t)
+        to_left, to_right = (lambda t: shapes.left(t) if t else t), (lambda t: shapes.right(t) if t else t)
         for batch in batches:
             c = Counter()
             for kind, a, b, x, y, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                first = to_left if kind in ("end", "gap") else to_right
-                c[kind, first(a), to_right(b), to_left(x), to_right(y)] += n
+                c[kind, _typed(shapes, kind, a), to_right(b), to_left(x), to_right(y)] += n
             yield _counted(c)
 
-    small = counts.mapInArrow(typed, _COUNTS).groupBy("kind", "a", "b", "x", "y").agg(F.sum("n").alias("n"))
-    rows = sorted(map(tuple, small.collect()))
-    types = {r[1] for r in rows if r[0] in ("end", "gap")} | {r[3] for r in rows}
-    return fit(rows, types, {r[1] for r in rows if r[0] in ("start", "on")} | {r[2] for r in rows} | {r[4] for r in rows})
+    small = cut(counts.mapInArrow(typed, _COUNTS).groupBy("kind", "a", "b", "x", "y").agg(F.sum("n").alias("n")), "typed")
+    totals = {(r["kind"], r["a"]): r["n"] for r in small.groupBy("kind", "a").agg(F.sum("n").alias("n")).collect()}
+    model = begin(totals, left, right)
+    windows = small.where("kind = 'gap'").select("a", "b", "x", "y", "n")
+    for _ in range(rounds):
+        sent = context.broadcast(model)
+
+        def step(batches, sent=sent):
+            for batch in batches:
+                sums: dict = {}
+                for (what, a, b, part), v in expect(sent.value, zip(*(c.to_pylist() for c in batch.columns))).items():
+                    sums.setdefault((what, a, b), [0.0, 0.0])[part] += v
+                yield _summed(sums)
 
+        sums = cut(windows.mapInArrow(step, _SUMS).groupBy("what", "a", "b").agg(F.sum("v").alias("v"), F.sum("w").alias("w")), "sums")
+        off = sums.where("what = 'L'").select(F.col("a").alias("_a"), (F.col("w") - F.col("v")).alias("_off"))
+        pairs = sums.where("what = 'P'").join(off, F.col("a") == F.col("_a")).where(F.col("v") - 1 - DISCOUNT * F.col("_off") > 0).select("what", "a", "b", "v", "w")
+        got = sums.where("what != 'P'").unionByName(pairs).collect()
+        update(model, totals, {(r["what"], r["a"], r["b"]): (r["v"], r["w"]) for r in sorted(got)})
+    return Trained(model, _rarer(counts, model))
 
-def sentences(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def _rarer(counts: DataFrame, model: Model) -> DataFrame:
+    """``side, type, value`` of types with a count of ``LEAST`` or more that aren't the model's own.
+
+    Left: the event's probability, from the posteriors at the type's own gaps, its ends, and its shape's probability for ``TRUST`` more. Right: how much likelier the
+    word is to begin than to go on. Word: how much likelier it is to end a block than to stand anywhere.
+    """
+    sent = counts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            sums: dict = {}
+
+            def add(side, t, v, w, sums=sums):
+                now = sums.setdefault((side, t, ""), [0.0, 0.0])
+                now[0] += v
+                now[1] += w
+
+            for kind, a, b, x, y, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == "gap":
+                    p = m.posteriors([(x, y), (a, b)])[1] if x else m.posteriors([(a, b)])[0]
+                    if m.left(a) != a:
+                        add("l", a, n * p, n)
+                    if m.right(b) != b:
+                        add("r", b, n * p, n * (1 - p))
+                    add("w", " " + word_type(b), 0.0, n)
+                elif kind == "end" and m.left(a) != a:
+                    add("l", a, n, n)
+                elif kind in ("start", "on"):
+                    if m.right(a) != a:
+                        add("r", a, n if kind == "start" else 0.0, n if kind == "on" else 0.0)
+                    add("w", " " + word_type(a), 0.0, n)
+                elif kind == "last":
+                    add("w", a, n, 0.0)
+            yield _summed(sums)
+
+    sums = counts.mapInArrow(run, _SUMS).groupBy("what", "a").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).where(F.greatest(F.col("w"), F.col("v")) >= LEAST)
+    total = sums.where("what = 'w'").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).first()
+    ends, words = (total["v"] or 0.0) + 1, (total["w"] or 0.0) + 2
+
+    def values(batches):
+        m = sent.value
+        for batch in batches:
+            out = []
+            for what, a, v, w in zip(*(c.to_pylist() for c in batch.columns)):
+                if what == "l":
+                    share = (v + TRUST * (SHARPEN + (1 - 2 * SHARPEN) * m.event.get(m.left(a), 0.5))) / (w + TRUST)
+                    out.append(min(max((share - SHARPEN) / (1 - 2 * SHARPEN), EDGE), 1 - EDGE))
+                elif what == "r":
+                    kind = m.right(a)
+                    first, on = m.first.get(kind, 1e-6), m.on.get(kind, 1e-6)
+                    ratio = first / on
+                    share = ratio * m.base / (1 - m.base + ratio * m.base)
+                    out.append((v + TRUST * share) / (w + TRUST * (1 - share)) * (1 - m.base) / m.base)
+                else:
+                    out.append(((v + 0.5) / ends) / ((w + 1.0) / words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["side", "type", "value"])
+
+    return cut(sums.mapInArrow(values, "side string, type string, value double"), "rarer")
+
+
+def sentences(documents: DataFrame, trained: Trained, key: str = "doc_id", text: str = "text", unmarked: bool = False) -> DataFrame:
     """``key, start_char, end_char`` of every sentence of every row, in code points, the end exclusive.
 
-    Null, empty and blank texts have none; a text without marks has one per block. Repeated rows repeat; other columns are not read.
+    With ``unmarked`` blocks without any mark are searched between all words. Null, empty and blank texts have no sentences; a text without marks
+    has one per block, or with ``unmarked`` those the words tell of. Repeated rows repeat; other columns are not read. Texts are compiled to their gaps once; those
+    with rarer types meet the values of these by joins on the type and on a number of the row, and no text is shuffled.
     """
     kind = documents.schema[key].dataType.simpleString()
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = documents.sparkSession.sparkContext.broadcast(trained.model)
 
-    def run(batches):
-        own = sent.value
+    def compile_(batches):
+        m = sent.value
+        for batch in batches:
+            packed, types = [], []
+            for t in batch.column(1).to_pylist():
+                parts = compiled(t or "", unmarked)
+                some = {("w" if g[2][0] == " " else "l") + g[2] for _, _, found in parts for g in found if g[2][0] == " " or m.left(g[2]) != g[2]}
+                some |= {"r" + g[3] for _, _, found in parts for g in found if m.right(g[3]) != g[3]}
+                types.append(sorted(some))
+                packed.append(pickle.dumps(parts, protocol=5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(types, pa.list_(pa.string()))], [key, "_parts", "_types"])
+
+    made = documents.select(F.col(key), F.col(text).cast("string")).mapInArrow(compile_, f"`{key}` {kind}, _parts binary, _types array<string>")
+    made = cut(made.withColumn("_row", F.monotonically_increasing_id()), "compiled")
+    values = trained.rarer.select(F.concat("side", "type").alias("_type"), "value")
+    met = made.select("_row", F.explode("_types").alias("_type")).join(values, "_type").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_type", "value"))).alias("_values"))
+    ready = made.drop("_types").join(met, "_row", "left").select(key, "_parts", "_values")
+
+    def decide(batches):
+        m = sent.value
         for batch in batches:
             rows, starts, ends = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for a, b in sentences_of(t or "", own):
+            for i, (parts, values) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                values = values or []
+                own = {t[1:]: v for t, v in values if t[0] in "lw"}, {t[1:]: v for t, v in values if t[0] == "r"}
+                for a, b in decided(pickle.loads(parts), m, *own):
                     rows.append(i)
                     starts.append(a)
                     ends.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], [key, "start_char", "end_char"])
 
-    return documents.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, start_char int, end_char int")
+    return ready.mapInArrow(decide, f"`{key}` {kind}, start_char int, end_char int")

@@ -289,16 +289,86 @@ def test_posteriors_by_enumeration():
     assert np.allclose(m.posteriors(chain), want)
 
 
+SCRIPTS = {
+    "khmer": "ប្រព័ន្ធដំណើរការហើយ។ សូមកុំហៅម្តងទៀត។ ឯកសារត្រូវបានអាន។",
+    "burmese": "စနစ်အလုပ်လုပ်သည်။ ထပ်မခေါ်ပါနှင့်။ ဖိုင်ကိုဖတ်ပြီးပြီ။",
+    "tibetan": "མ་ལག་འཁོར་བཞིན་འདུག། ཡང་བསྐྱར་མ་འབོད། ཡིག་ཆ་ཀློག་ཟིན།",
+    "ethiopic": "ስርዓቱ እየሰራ ነው። እንደገና አትጥራ። ፋይሉ ተነብቧል።",
+    "armenian": "Համակարգը աշխատում է։ Մի կանչեք կրկին։ Ֆայլը կարդացված է։",
+    "lao": "ລະບົບກຳລັງເຮັດວຽກ ຢ່າເອີ້ນຊ້ຳອີກ ໄຟລ໌ຖືກອ່ານແລ້ວ",
+    "latin": "the cache is full it took 7 sec on the box the rest waits is it done read wav raw etc one of 3 failed the cache is full",
+}
+
+
+def test_scripts():
+    m = model()
+    for name, text in SCRIPTS.items():
+        got = [text[a:b] for a, b in sentences.sentences_of(text, m, unmarked=True)]
+        assert len(got) > 1 and "".join(got).replace(" ", "") == text.replace(" ", ""), name
+        if name not in ("latin", "lao"):
+            assert len(got) == 3, name
+
+
+def test_blocks_without_marks():
+    """Words alone: paragraphs of the corpus without their marks and capitals are cut mostly where the marks were."""
+    m = model()
+    bare = ["the cache is full", "it took 3 sec on the box", "wait the counter went back", "is it done", "the rest waits", "one of 9 failed"]
+    r = random.Random(3)
+    hit = wrong = total = 0
+    for _ in range(50):
+        parts = [x[0].upper() + x[1:] for x in r.choices(bare, k=6)]
+        text = " ".join(parts)
+        ends = {sum(len(p) + 1 for p in parts[: i + 1]) - 1 for i in range(5)}
+        got = {b for _, b in sentences.sentences_of(text, m, unmarked=True)} - {len(text)}
+        hit, wrong, total = hit + len(got & ends), wrong + len(got - ends), total + 5
+        assert sentences.sentences_of(text, m) == [(0, len(text))]
+    assert hit >= 0.8 * total and wrong <= 0.2 * total
+
+
 def test_sentences_of_tables(spark):
-    rows = [(1000 + i, t, True, "x") for i, t in enumerate(paragraphs())] + [(3, CORPUS[0].format(n=3), True, "x")] + [(90, None, True, ""), (91, "", True, ""), (92, "  ", None, ""), (None, "One. Two", False, ""), (93, "word " * 40_000, True, "")]
+    rows = [(1000 + i, t, True, "x") for i, t in enumerate(paragraphs())] + [(3, CORPUS[0].format(n=3), True, "x")] * 2 + [(90, None, True, ""), (91, "", True, ""), (92, "  ", None, ""), (None, "One. Two", False, ""), (93, "word " * 40_000, True, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, prose boolean, start_char string")
-    m = sentences.train(df)
-    got = sentences.sentences(df, m).collect()
+    t = sentences.train(df)
+    got = sentences.sentences(df, t).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
-    assert len(by[3]) == 7 and 90 not in by and 91 not in by and 92 not in by and by[93] == [(0, 5 * 40_000 - 1)]
-    assert sentences.sentences(df.limit(0), sentences.train(df.limit(0))).count() == 0
+    assert len(by[3]) == 14 and len(set(by[3])) == 7 and 90 not in by and 91 not in by and 92 not in by and by[93] == [(0, 5 * 40_000 - 1)]
+    none = df.limit(0)
+    assert sentences.sentences(none, sentences.train(none)).count() == 0
+    assert sentences.sentences(df, sentences.train(none), unmarked=True).count() > 0
+
+
+def test_sums_on_executors_fit_the_same(spark):
+    """The model of partial sums is the model fitted in memory on the same counts."""
+    from collections import Counter
+
+    texts = paragraphs()
+    t = sentences.train(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3)).model
+    c = Counter()
+    for x in texts:
+        c.update(sentences.observed(x))
+    m = sentences.fit([(*k, n) for k, n in c.items()], t.lefts, t.rights)
+    for name in ("event", "event_after", "first", "on", "weight", "after", "last"):
+        a, b = getattr(t, name), getattr(m, name)
+        assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-6 for k in a), name
+
+
+def test_rarer_types_have_values_of_their_own(spark):
+    """Words that are far rarer than a thousandth still count by themselves, however much else there is."""
+    r = random.Random(5)
+    plain = lambda n: " ".join(f"Item {r.randint(1, 99)} was read." for _ in range(n))
+    texts = [plain(20) + " The qv. rule holds. It saw a zk. Item 5 is new." for _ in range(40)] + [plain(40) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    t = sentences.train(df)
+    assert not {"qv.", "zk."} & t.model.lefts
+    rarer = {(x.side, x.type): x.value for x in t.rarer.collect()}
+    assert rarer["l", "qv."] < 0.3 and rarer["l", "zk."] > 0.9
+    assert t.model.posteriors([("qv.", "Item")], {"qv.": rarer["l", "qv."]})[0] < t.model.posteriors([("qv.", "Item")])[0]
+    got = {(x.doc_id, x.start_char, x.end_char) for x in sentences.sentences(df.where("doc_id < 40"), t).collect()}
+    for i, x in enumerate(texts[:40]):
+        a, b = x.index("The qv."), x.index("It saw")
+        assert {(i, a, b - 1), (i, b, x.index(" Item 5 is"))} <= got
 
 
 SQL = sorted(queries.ORACLE)
