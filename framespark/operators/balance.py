@@ -143,20 +143,27 @@ def shard_bounds(df: DataFrame, plan: LoadPlan, key: str, order: str) -> DataFra
     return spark.createDataFrame(rows, f"_k {plan.key_type}, _shard int, _lo bigint, _hi bigint, _slot bigint")
 
 
-def place_ordered(df: DataFrame, plan: LoadPlan, key: str, order: str, bounds: DataFrame) -> DataFrame:
-    """``df`` on its tasks, with ``_slot`` and ``_shard``; a heavy key's shards are consecutive runs of ``order``."""
+def place_ordered(df: DataFrame, plan: LoadPlan, key: str, order: str, bounds: DataFrame, matching: DataFrame | None = None) -> DataFrame:
+    """``df`` on its tasks, with ``_slot`` and ``_shard``; a heavy key's shards are consecutive runs of ``order``.
+
+    Rows of ``matching``, which have ``_slot`` and ``_shard`` already, go to these shards with them; the columns they lack are null.
+    """
     _, buckets = _tables(df.sparkSession, plan)
     d = df.withColumn("_b", bucket_of(F.col(key), plan.tasks))
     on = (d[key] == bounds["_k"]) & (d[order] >= bounds["_lo"]) & (d[order] < bounds["_hi"])
     d = d.join(F.broadcast(bounds), on, "left").join(F.broadcast(buckets), "_b", "left")
     d = d.withColumn("_slot", F.coalesce("_slot", "_bslot")).withColumn("_shard", F.coalesce("_shard", F.lit(0)))
-    return d.drop("_b", "_bslot", "_k", "_lo", "_hi").repartition(plan.tasks, "_slot")
+    d = d.drop("_b", "_bslot", "_k", "_lo", "_hi")
+    if matching is not None:
+        d = d.unionByName(matching, allowMissingColumns=True)
+    return d.repartition(plan.tasks, "_slot")
 
 
 def balanced_join(left: DataFrame, right: DataFrame, key: str, plan: LoadPlan | None = None, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on ``key``; the heavy keys of ``left`` are cut into shards and the rows of ``right`` replicated to the shards of their key.
 
-    ``how`` is ``inner`` or ``left``. Null keys match nothing. Column names other than ``key`` must not clash.
+    ``how`` is ``inner`` or ``left``. Null keys match nothing. Column names other than ``key`` must not clash. A join that sorts both sides hashes
+    (slot, shard, key) anew, which spreads shards and keys evenly but not as packed; windows over what ``place_ordered`` gives stay as packed.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left: other joins would repeat replicated rows")

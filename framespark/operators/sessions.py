@@ -24,29 +24,26 @@ def spoken(utterances: DataFrame, *more: str) -> DataFrame:
 def sessions(rows: DataFrame, key: str = "spk", order: str = "t", id_: str = "utt_id", gap: int = 30 * 60 * 1_000_000, tasks: int | None = None) -> DataFrame:
     """``rows`` with ``opens``: true on a key's first row and on one more than ``gap`` after the key's previous row.
 
-    Heavy keys are cut into consecutive runs of ``order``; a run's first row gets the end of the runs before
-    it from a table with a row per run of a heavy key, replicated to those runs alone. Rows with
-    a null ``order`` open nothing and follow no row. Ties in ``order`` go by ``id_``.
+    Heavy keys are cut into consecutive runs of ``order``. The end of the runs before a run goes to that run's shard, and to no other, as a row of its own, which
+    the run's first row follows. Rows with a null ``order`` or key open nothing and follow no row. Ties in ``order`` go by ``id_``.
     """
-    whole = rows.where(F.col(order).isNotNull() & F.col(key).isNotNull())
+    known = F.col(order).isNotNull() & F.col(key).isNotNull()
+    whole = rows.where(known)
     plan = plan_load(whole, key, tasks)
     bounds = shard_bounds(whole, plan, key, order)
     on = (whole[key] == bounds["_k"]) & (whole[order] >= bounds["_lo"]) & (whole[order] < bounds["_hi"])
-    ends = whole.join(F.broadcast(bounds), on).groupBy("_k", "_shard").agg(F.max(order).alias("_end")).collect()
+    ends = whole.join(F.broadcast(bounds), on).groupBy("_k", "_shard", "_slot").agg(F.max(order).alias("_end")).collect()
     last, carried = {}, []
     for r in sorted(ends, key=lambda r: (str(r["_k"]), r["_shard"])):
         if r["_k"] in last:
-            carried.append((r["_k"], r["_shard"], last[r["_k"]]))
+            carried.append((r["_k"], last[r["_k"]], r["_shard"], r["_slot"], True))
         last[r["_k"]] = r["_end"]
-    kind = dict(rows.dtypes)[key]
-    before = rows.sparkSession.createDataFrame(carried, f"_k {kind}, _s int, _before bigint")
-    d = place_ordered(whole, plan, key, order, bounds)
-    w = Window.partitionBy("_slot", key, "_shard").orderBy(order, id_)
-    d = d.withColumn("_prev", F.lag(order).over(w))
-    d = d.join(F.broadcast(before), (d[key] == before["_k"]) & (d["_shard"] == before["_s"]), "left")
-    prev = F.coalesce("_prev", "_before")
-    opens = prev.isNull() | (F.col(order) - prev > gap)
-    return d.withColumn("opens", opens).drop("_prev", "_before", "_k", "_s", "_slot", "_shard")
+    kinds = dict(rows.dtypes)
+    before = rows.sparkSession.createDataFrame(carried, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, _shard int, _slot bigint, _carried boolean")
+    d = place_ordered(whole.withColumn("_carried", F.lit(False)), plan, key, order, bounds, before)
+    prev = F.lag(order).over(Window.partitionBy("_slot", key, "_shard").orderBy(order, F.col("_carried").desc(), id_))
+    d = d.withColumn("opens", prev.isNull() | (F.col(order) - prev > gap)).where("not _carried").drop("_carried", "_slot", "_shard")
+    return d.unionByName(rows.where(~known).withColumn("opens", F.lit(False)))
 
 
 def session_openers(utterances: DataFrame, gap_minutes: int = 30, tasks: int | None = None) -> DataFrame:

@@ -132,8 +132,8 @@ def _entity_sql(label: str, **fields: str) -> str:
 _SPOKEN = rf"""
 WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY ingested_at DESC) AS r FROM utterances) WHERE r = 1),
 k AS (SELECT utt_id, duration, recorded_at, regexp_replace(lower(speaker), '[^\p{{L}}\p{{M}}\p{{N}}]', '', 'g') AS spk FROM h WHERE speaker IS NOT NULL),
-l AS (SELECT *, lag(recorded_at) OVER (PARTITION BY spk ORDER BY recorded_at, utt_id) AS p FROM k WHERE spk NOT IN {NOBODY!r}),
-o AS (SELECT *, p IS NULL OR recorded_at - p > INTERVAL 30 MINUTE AS opens FROM l)
+l AS (SELECT *, lag(recorded_at) OVER (PARTITION BY spk ORDER BY recorded_at NULLS LAST, utt_id) AS p FROM k WHERE spk NOT IN {NOBODY!r}),
+o AS (SELECT *, recorded_at IS NOT NULL AND (p IS NULL OR recorded_at - p > INTERVAL 30 MINUTE) AS opens FROM l)
 """
 
 ORACLE = {

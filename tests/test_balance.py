@@ -2,13 +2,14 @@ import datetime as dt
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framespark.functions.identity import file_key, speaker_key
 from framespark.operators.balance import balanced_join, pack, plan_load
-from framespark.operators.blocks import blocked, over, own
+from framespark.operators.blocks import blocked
 from framespark.operators.components import components
 from framespark.operators.ranking import hash_rank
-from framespark.operators.sessions import session_openers
+from framespark.operators.sessions import session_openers, sessions
 
 UTTS = "utt_id bigint, name string, speaker string, audio_file string, tstart double, tstop double, duration double, recorded_at timestamp_ntz, ingested_at timestamp_ntz, spk string, _slot int, t int"
 T0 = dt.datetime(2001, 1, 1)
@@ -75,6 +76,12 @@ def test_sessions_against_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def test_rows_without_a_time_are_kept(spark):
+    rows = [("a", 1, None), ("a", 2, 5), ("a", 3, None), ("b", 4, None), (None, 5, 7)]
+    got = {r.i: r.opens for r in sessions(spark.createDataFrame(rows, "k string, i bigint, t bigint"), "k", "t", "i", gap=10, tasks=3).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: False}
+
+
 def test_sessions_of_nothing(spark):
     assert session_openers(spark.createDataFrame([], UTTS)).count() == 0
     assert session_openers(spark.createDataFrame([utt(1, None), utt(2, "?"), (None,) + utt(3)[1:]], UTTS)).count() == 0
@@ -118,5 +125,5 @@ def test_hash_rank(spark):
 
 def test_blocks_cover_once(spark):
     df = spark.range(1000).select(F.lit("a").alias("item"), F.col("id").cast("int").alias("frame"))
-    got = own(blocked(df, 5, block=64).withColumn("p", F.lag("frame").over(over()))).collect()
+    got = blocked(df, 5, block=64).withColumn("p", F.lag("frame").over(Window.partitionBy("item", "_block").orderBy("frame"))).where("_own").collect()
     assert len(got) == 1000 and all(x.p == (x.frame - 1 if x.frame else None) for x in got)
