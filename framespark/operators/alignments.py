@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,17 +69,27 @@ def one_hot(ali: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 def framed_one_hot(ali: DataFrame, rate: int = 16000, shift_s: float = 0.01, length_s: float = 0.025, kind: str = "povey", tokens: DataFrame | None = None) -> DataFrame:
     """``item, frame, token, idx``: of each frame of the alignment sampled at ``rate`` the token with the greatest weight under a window; of equals the one met first.
 
-    Samples are spread to the frames they are in; weights are summed by (item, frame, token).
+    An interval makes a row per frame it touches, not per sample: its weight there is a difference of two entries of the window's running sum. Where intervals
+    overlap, a frame is cut at their ends and the least token of each part counts. One shuffle, by (item, frame).
     """
     inv = tokens if tokens is not None else inventory(ali)
     shift, length = int(rate * shift_s + 1e-9), int(rate * length_s + 1e-9)
-    taper = window(length, kind)
-    samples = at_rate(ali, float(rate))
-    n = samples.groupBy("item").agg(nframes((F.max("i") + 1).cast("int"), F.lit(length), F.lit(shift)).alias("_n"))
-    lo = F.greatest(F.ceil((F.col("i") - length + 1) / shift), F.lit(0))
-    hi = F.least(F.floor(F.col("i") / shift), F.col("_n") - 1)
-    d = samples.join(n, "item").where(hi >= lo).withColumn("frame", F.explode(F.sequence(lo, hi)))
-    w = F.element_at(F.array(*map(F.lit, taper)), (F.col("i") - F.col("frame") * shift + 1).cast("int"))
-    votes = d.groupBy("item", "frame", "token").agg(F.sum(w).alias("w"), F.min("i").alias("i"))
+    running = F.array(*(F.lit(float(v)) for v in np.concatenate([[0.0], np.cumsum(window(length, kind))])))
+    first = ali.groupBy("item").agg(F.min("onset").alias("_t0"))
+    sample = lambda c: F.ceil((F.col(c) - F.col("_t0")) * float(rate) - 1e-6)
+    d = ali.join(first, "item").select("item", "token", sample("onset").alias("_a"), sample("offset_s").alias("_b")).where("_b > _a")
+    n = d.groupBy("item").agg(nframes(F.max("_b").cast("int"), F.lit(length), F.lit(shift)).alias("_n"))
+    lo = F.greatest(F.ceil((F.col("_a") - length + 1) / shift), F.lit(0))
+    hi = F.least(F.floor((F.col("_b") - 1) / shift), F.col("_n") - 1)
+    d = d.join(n, "item").where(hi >= lo).withColumn("frame", F.explode(F.sequence(lo, hi)))
+    inside = lambda c: F.least(F.greatest(F.col(c) - F.col("frame") * shift, F.lit(0)), F.lit(length)).cast("int")
+    d = d.groupBy("item", "frame").agg(F.collect_list(F.struct(inside("_a").alias("a"), inside("_b").alias("b"), F.col("token").alias("t"))).alias("_in"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.transform("_in", lambda x: x["a"]), F.transform("_in", lambda x: x["b"]))))
+    d = d.withColumn("_cuts", cuts)
+    here = lambda i: F.array_min(F.transform(F.filter("_in", lambda x: (x["a"] <= F.get("_cuts", i)) & (x["b"] > F.get("_cuts", i))), lambda x: x["t"]))
+    parts = F.transform(F.sequence(F.lit(0), F.size("_cuts") - 2), lambda i: F.struct(F.get("_cuts", i).alias("a"), F.get("_cuts", i + 1).alias("b"), here(i).alias("t")))
+    d = d.where(F.size("_cuts") > 1).select("item", "frame", F.explode(parts).alias("_p")).where("_p.t is not null")
+    w = F.element_at(running, F.col("_p.b") + 1) - F.element_at(running, F.col("_p.a") + 1)
+    votes = d.groupBy("item", "frame", F.col("_p.t").alias("token")).agg(F.sum(w).alias("w"), F.min("_p.a").alias("i"))
     best = votes.groupBy("item", "frame").agg(F.max_by("token", F.struct(F.round("w", 9).alias("w"), (-F.col("i")).alias("i"))).alias("token"))
     return best.join(F.broadcast(inv), "token").select("item", F.col("frame").cast("int").alias("frame"), "token", "idx")

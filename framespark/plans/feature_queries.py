@@ -145,15 +145,15 @@ def onehot(spark, d):
     return A.one_hot(views.alignments(spark, d))
 
 
-_TAPER = "list_transform(range(0, 25), lambda i: pow(0.5 - 0.5 * cos(2 * pi() * i / 24), 0.85))"
+_TAPER = "list_transform(range(0, 400), lambda i: pow(0.5 - 0.5 * cos(2 * pi() * i / 399), 0.85))"
 
 
-@R.query(_RATE.format("1000.0::DOUBLE") + f", k AS (SELECT item, CASE WHEN max(i) + 1 < 25 THEN 0 ELSE 1 + (max(i) + 1 - 25) // 10 END AS k FROM one GROUP BY item), t AS (SELECT {_TAPER} AS w),"
-  " v AS (SELECT item, f AS frame, token, sum(w[i - f * 10 + 1]) AS w, min(i) AS i FROM (SELECT one.*, k, unnest(range(CAST(greatest(ceil((i - 24) / 10.0), 0) AS BIGINT), least(i // 10, k - 1) + 1)) AS f FROM one JOIN k USING (item)), t GROUP BY item, f, token),"
+@R.query(_RATE.format("16000.0::DOUBLE") + f", k AS (SELECT item, CASE WHEN max(i) + 1 < 400 THEN 0 ELSE 1 + (max(i) + 1 - 400) // 160 END AS k FROM one GROUP BY item), t AS (SELECT {_TAPER} AS w),"
+  " v AS (SELECT item, f AS frame, token, sum(w[i - f * 160 + 1]) AS w, min(i) AS i FROM (SELECT one.*, k, unnest(range(CAST(greatest(ceil((i - 399) / 160.0), 0) AS BIGINT), least(i // 160, k - 1) + 1)) AS f FROM one JOIN k USING (item)), t GROUP BY item, f, token),"
   " inv AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INT) AS idx FROM (SELECT DISTINCT token FROM alignments))"
   " SELECT item, CAST(frame AS INT) AS frame, token, idx FROM (SELECT *, row_number() OVER (PARTITION BY item, frame ORDER BY round(w, 9) DESC, i) AS r FROM v) JOIN inv USING (token) WHERE r = 1")
 def onehot_framed(spark, d):
-    return A.framed_one_hot(views.alignments(spark, d), rate=1000)
+    return A.framed_one_hot(views.alignments(spark, d))
 
 
 _STATS = "SELECT {0}CAST(dim AS INT) AS dim, CAST({1} AS DOUBLE) AS count, round(sum({2}x), 2) AS s1, round(sum({2}x * x), 1) AS s2 FROM lng {3} GROUP BY {0}dim"

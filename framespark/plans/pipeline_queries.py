@@ -18,10 +18,16 @@ CONFIG = {
 
 @R.query()
 def pipeline(spark, d):
-    """Cepstra of every signal of a known speaker, normalised by speaker over voiced frames, with derivatives."""
-    s = views.signals(spark, d).dropDuplicates(["item"]).select(F.col("item").alias("file"), "sample_rate", "dtype", "samples")
-    u = views.utterances(spark, d).where("speaker is not null").select("name", F.col("name").alias("audio_file"), "speaker")
-    return extract_features(spark, CONFIG, u.join(s.select(F.col("file").alias("name")), "name"), s)
+    """Cepstra of every signal of a known speaker, normalised by speaker over voiced frames, with derivatives; an item's signals are utterances each."""
+    return extract_features(spark, CONFIG, *_spoken(spark, d))
+
+
+def _spoken(spark, d):
+    s = views.signals(spark, d)
+    speakers = views.utterances(spark, d).where("speaker is not null").select(F.col("name").alias("item"), "speaker")
+    file = F.col("signal_id").cast("string")
+    u = s.select("item", file.alias("name"), file.alias("audio_file")).join(speakers, "item").drop("item")
+    return u, s.select(file.alias("file"), "sample_rate", "dtype", "samples")
 
 
 QUERIES, ORACLE = R.queries, R.sql

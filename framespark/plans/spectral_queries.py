@@ -67,11 +67,10 @@ def lifter(spark, d):
 
 
 @R.query(_PREP.split("win AS")[0].replace("int_ AS (SELECT signal_id, sample_rate, CASE WHEN dtype = 'int16' THEN samples ELSE list_transform(samples, lambda v: trunc(greatest(least(v * 32768::DOUBLE, 32767::DOUBLE), -32768::DOUBLE))) END AS y FROM sig)", "int_ AS (SELECT signal_id, sample_rate, samples AS y FROM sig)").rstrip().rstrip(",")
-  + " SELECT signal_id, frame, [round(ln(greatest(list_sum(list_transform(x, lambda v: v * v)), 2.2250738585072014e-308)), 3) + 0.0] AS vec FROM en WHERE list_sum(list_transform(x, lambda v: v * v)) > 1e-12")
+  + " SELECT signal_id, frame, [round(ln(greatest(list_sum(list_transform(x, lambda v: v * v)), 2.2250738585072014e-308)), 3) + 0.0] AS vec FROM en")
 def energy(spark, d):
-    """Raw log energy, of frames that aren't silent."""
-    out = _features(spark, d, "energy", dither=0.0)
-    return out.where(F.get("vec", F.lit(0)) > float(np.log(1e-12)))
+    """Raw log energy; what is left of a silent frame's samples when their mean is off counts as nothing."""
+    return _features(spark, d, "energy", dither=0.0)
 
 
 @R.query()
@@ -210,9 +209,9 @@ def ubm_train(spark, d):
 @R.query()
 def vtln(spark, d):
     """A warp per speaker: features of the signals under 41 warps, maps between them, mixture and warps in turn."""
-    s = views.signals(spark, d).select("item", "sample_rate", "dtype", "samples").dropDuplicates(["item"])
-    speakers = views.utterances(spark, d).where("speaker is not null").select(F.col("name").alias("item"), "speaker")
-    s = cut(s.join(speakers, "item"), "spoken")
+    speakers = views.utterances(spark, d).where("speaker is not null").select(F.col("name").alias("_name"), "speaker")
+    s = views.signals(spark, d).join(speakers, F.col("item") == F.col("_name"))
+    s = cut(s.select(F.col("signal_id").cast("string").alias("item"), "speaker", "sample_rate", "dtype", "samples"), "spoken")
     p = Processor("mfcc", num_ceps=5, num_bins=6, dither=0.0, vtln_low=60.0, vtln_high=-20.0)
     at = lambda f: extract(s.withColumn("w", F.lit(f)), p, "item", "w")
     warped = {f: at(f) for f in (round(0.85 + 0.01 * i, 6) for i in range(41))}

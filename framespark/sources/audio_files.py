@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from framespark.plans.ship import ship
 
 
-def wav_header(data: bytes) -> dict:
-    """Of the bytes of a RIFF file: nchannels, sample_rate, nsamples, duration, and how the samples are stored."""
+def wav_header(data: bytes, whole: int | None = None) -> dict:
+    """Of the bytes of a RIFF file, or the first of ``whole``: nchannels, sample_rate, nsamples, duration, and how the samples are stored."""
+    length = len(data) if whole is None else whole
     if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("unsupported codec: only WAV is read")
     at, fmt = 12, None
@@ -28,7 +29,7 @@ def wav_header(data: bytes) -> dict:
             if fmt is None:
                 raise ValueError("cannot scan audio file: data before format")
             kind, channels, rate, align, bits = fmt
-            n = min(size, len(data) - body) // max(align, 1) if size != 0xFFFFFFFF else (len(data) - body) // max(align, 1)
+            n = min(size, length - body) // max(align, 1) if size != 0xFFFFFFFF else (length - body) // max(align, 1)
             return {"nchannels": channels, "sample_rate": rate, "nsamples": n, "duration": n / rate, "kind": kind, "bits": bits, "at": body}
         at = body + size + (size & 1)
     raise ValueError("cannot scan audio file: no samples")
@@ -59,15 +60,49 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true").load(path)
 
 
+HEAD = 1 << 16
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """``file, nchannels, sample_rate, nsamples, duration`` of the WAV files under ``path``."""
+    """``file, nchannels, sample_rate, nsamples, duration`` of the WAV files under ``path``.
 
-    def run(batches):
+    Where workers can open a file its first ``HEAD`` bytes are read, and more only if the samples begin later; a file of another file system
+    is read whole by Spark.
+    """
+
+    def headers(batches):
+        for b in batches:
+            rows = [_head(name, size) for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in _SCANNED)], ["file", *(k for k, _ in _SCANNED)])
+
+    def whole(batches):
         for b in batches:
-            h = [wav_header(x.as_buffer().to_pybytes()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x["nchannels"] for x in h], pa.int32()), pa.array([x["sample_rate"] for x in h], pa.int32()), pa.array([x["nsamples"] for x in h], pa.int64()), pa.array([x["duration"] for x in h])], ["file", "nchannels", "sample_rate", "nsamples", "duration"])
+            rows = [wav_header(x.as_buffer().to_pybytes()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in _SCANNED)], ["file", *(k for k, _ in _SCANNED)])
+
+    files = _files(spark, path, "wav")
+    schema = "file string, nchannels int, sample_rate int, nsamples bigint, duration double"
+    if "://" not in path or path.startswith("file:"):
+        return files.select("path", "length").mapInArrow(headers, schema)
+    return files.select("path", "content").mapInArrow(whole, schema)
+
+
+_SCANNED = (("nchannels", pa.int32()), ("sample_rate", pa.int32()), ("nsamples", pa.int64()), ("duration", pa.float64()))
+
+
+def _head(name: str, size: int) -> dict:
+    from urllib.parse import unquote, urlparse
 
-    return _files(spark, path, "wav").select("path", "content").mapInArrow(run, "file string, nchannels int, sample_rate int, nsamples bigint, duration double")
+    with open(unquote(urlparse(name).path) if name.startswith("file:") else name, "rb") as f:
+        read = HEAD
+        while True:
+            f.seek(0)
+            try:
+                return wav_header(f.read(read), size)
+            except ValueError:
+                if read >= size:
+                    raise
+                read = min(size, 16 * read)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framespark.functions.identity import file_key, holding_rows, speaker_key
+from framespark.plans.cuts import cut
 from framespark.sources.tables import table
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """``df``, read from files, with one row of each ``key`` (of rows alike in it the first by file and place); null is a key.
+
+    Only keys and places of rows are shuffled, not the rows: the places of the repeats, which are few, are written and joined against.
+    """
+    try:
+        placed = df.withColumn("_place", F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:  # not read from files
+        return df.dropDuplicates([key])
+    first = placed.select(key, "_place").groupBy(key).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    keys = first.select(F.col(key).alias("_key"), "_first")
+    again = placed.select(key, "_place").join(keys, F.col(key).eqNullSafe(F.col("_key"))).where("_place != _first").select("_place")
+    return placed.join(cut(again, "repeats"), "_place", "left_anti").drop("_place")
+
+
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """``signal_id, item, audio_file, sample_rate, dtype, samples``: one row per signal that has samples."""
-    rows = table(spark, d, "signals").where("samples is not null and size(samples) > 0")
-    return rows.select("signal_id", "item", "audio_file", "sample_rate", "dtype", "samples").dropDuplicates(["signal_id"])
+    rows = once(table(spark, d, "signals"), "signal_id").where("samples is not null and size(samples) > 0")
+    return rows.select("signal_id", "item", "audio_file", "sample_rate", "dtype", "samples")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
