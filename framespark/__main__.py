@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("utterances", help="text file of utterances")
     e.add_argument("audio", help="folder of WAV files that the index names")
     e.add_argument("output")
-    e.add_argument("--format", default="parquet")
+    e.add_argument("--format", help="parquet, csv, npz or ark; by the extension of output if not given")
     return top
 
 
@@ -35,6 +35,7 @@ def main(argv: list[str] | None = None) -> int:
 
         from pyspark.sql import functions as F
 
+        from framespark.plans.cuts import cut
         from framespark.plans.session import local_session
         from framespark.sources import audio_files, collections, texts
 
@@ -46,8 +47,8 @@ def main(argv: list[str] | None = None) -> int:
         spark = local_session()
         root = "file:" + os.path.abspath(args.audio).rstrip("/") + "/"
         signals = audio_files.load(spark, args.audio).withColumn("file", F.replace("file", F.lit(root), F.lit("")))
-        out = pipeline.extract_features(spark, args.config, texts.load_utterances(spark, args.utterances), signals)
-        collections.save(out, args.output, args.format)
+        out = cut(pipeline.extract_features(spark, args.config, texts.load_utterances(spark, args.utterances), signals), "extracted")
+        collections.save(out, args.output, args.format, pipeline.properties_of(args.config, out))
         return 0
     except (ValueError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)

@@ -373,7 +373,7 @@ def network(x: np.ndarray, layers) -> np.ndarray:
 
 
 def crepe(x, o: FrameOptions, weights: dict, center: bool = True, smooth: bool = True, **_) -> np.ndarray:
-    """[frames, 2]: voicing and pitch in Hz by a convolutional network over 1,024 samples at 16 kHz.
+    """[frames, 2]: voicing and pitch in Hz by a convolutional network over 1,024 samples at 16 kHz, brought to as many frames as other processors have.
 
     ``weights``: 'blocks', a list of (kernel [width, in, out], bias, stride, scale, shift), and 'dense' (matrix, bias) to 360 pitch classes.
     """
@@ -406,7 +406,10 @@ def crepe(x, o: FrameOptions, weights: dict, center: bool = True, smooth: bool =
     for t, c in enumerate(best):
         a, b = max(0, c - 4), min(360, c + 5)
         s = act[t, a:b].sum()
-        out[t] = act[t, c], 10.0 * 2 ** (((act[t, a:b] * cents[a:b]).sum() / s if s else cents[c]) / 1200)
+        out[t] = act[t].max(), 10.0 * 2 ** (((act[t, a:b] * cents[a:b]).sum() / s if s else cents[c]) / 1200)
+    n = len(y) - (size // 2 * 2 if center else 0)
+    count = 1 + int((n - o.frame_length * rate) / hop) if n >= o.frame_length * rate else 0
+    out = np.stack([resample(out[:, i], count) for i in range(2)], axis=1)
     out[:, 0] = np.clip(np.where(out[:, 0] < 0.01, 0.0, out[:, 0]), 0.0, 1.0)
     return out
 

@@ -31,7 +31,7 @@ def merge(*stats: DataFrame, by: list[str] | None = None) -> DataFrame:
 def arrays(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``by..., count, mean, std``: arrays in the order of components, population deviations with a floor on the variance. An error for less than one frame."""
     group = F.concat_ws(", ", *(F.col(c).cast("string") for c in by)) if by else F.lit("all")
-    few = F.raise_error(F.concat(F.lit("insufficient accumulation of stats for CMVN, must be >= 1.0 but is "), F.col("count").cast("string"), F.lit(" for "), group)).cast("double")
+    few = F.raise_error(F.concat(F.lit("no statistics to normalise "), group, F.lit(" by: weights add up to "), F.col("count").cast("string"), F.lit(", under 1"))).cast("double")
     n = F.when(F.col("count") >= 1.0, F.col("count")).otherwise(few)
     mean = F.col("s1") / n
     var = F.greatest(F.col("s2") / n - mean * mean, F.lit(FLOOR))

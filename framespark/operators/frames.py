@@ -14,7 +14,7 @@ KEYS = ["item", "frame"]
 def subsample(features: DataFrame, every: int) -> DataFrame:
     """Frames 0, k, 2k, ..., numbered anew."""
     if not isinstance(every, int) or every < 1:
-        raise ValueError(f"subsample must be a strictly positive integer, it is {every}")
+        raise ValueError(f"every must be a whole number from 1, not {every!r}")
     return features.where(F.col("frame") % every == 0).withColumn("frame", (F.col("frame") / every).cast("int"))
 
 
@@ -63,7 +63,7 @@ def concatenate(a: DataFrame, b: DataFrame, tolerance: int = 0) -> DataFrame:
     wrong = (F.abs(F.coalesce("_na", F.lit(0)) - F.coalesce("_nb", F.lit(0))) > tolerance) | F.col("_na").isNull() | F.col("_nb").isNull()
     # one row, broadcast: frames are not shuffled by item, where one may have a tenth of all
     n = n.where(wrong).agg(F.min("item").cast("string").alias("_wrong"))
-    n = n.select(F.when(F.col("_wrong").isNotNull(), F.raise_error(F.concat(F.lit("features have different number of frames: "), F.col("_wrong"))).cast("boolean")).otherwise(F.lit(True)).alias("_fine"))
+    n = n.select(F.when(F.col("_wrong").isNotNull(), F.raise_error(F.concat(F.lit("too many frames on one side only, item "), F.col("_wrong"))).cast("boolean")).otherwise(F.lit(True)).alias("_fine"))
     y = b.select(*KEYS, F.col("vec").alias("_vec"))
     return a.join(y, KEYS).crossJoin(F.broadcast(n)).where("_fine").withColumn("vec", F.concat("vec", "_vec")).drop("_vec", "_fine")
 

@@ -159,6 +159,8 @@ def crepe_post(pitch: DataFrame, pitch_scale: float = 2.0, delta_pitch_scale: fl
             if not voiced.any():
                 raise ValueError(f"no voiced frames: {t.column('item')[0].as_py()}")
             hz = np.interp(frame, frame[voiced], x[voiced, 1])
+            if not (hz > 0).all():
+                raise ValueError(f"pitch that is not positive: {t.column('item')[0].as_py()}")
             nccf = np.interp(x[:, 0], curve, grid)  # the curve rises, so its inverse is an interpolation
             yield pa.RecordBatch.from_arrays([t.column("item").combine_chunks(), t.column("frame").combine_chunks(), vectors(np.stack([nccf, hz], axis=1))], ["item", "frame", "vec"])
 

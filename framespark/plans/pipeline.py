@@ -13,7 +13,8 @@ from framespark.operators import cmvn as C
 from framespark.operators import frames as X
 from framespark.operators import signals as S
 from framespark.operators.balance import balanced_join
-from framespark.operators.spectral import Processor, extract, pitch_post
+from framespark.operators import properties as P
+from framespark.operators.spectral import Processor, crepe_post, extract, pitch_post
 from framespark.plans.cuts import cut
 
 MAIN = ("bottleneck", "filterbank", "mfcc", "plp", "spectrogram")
@@ -126,7 +127,7 @@ def extract_features(spark: SparkSession, config: dict | str, utterances: DataFr
     if needs and ("speaker" not in utterances.columns or utterances.where("speaker is null").take(1)):
         raise ValueError("the requested configuration uses speakers, but there are utterances without speaker information")
     seg = cut(segments(utterances, signals), "segments")
-    params = dict(c[main]) | ({"weights": weights} if main == "bottleneck" else {})
+    params = dict(c[main]) | ({"weights": (weights or {}).get("bottleneck", weights)} if main == "bottleneck" else {})
     p = Processor(main, **params)
     if "vtln" in c and warps is None:
         warps = _train(seg, p, c["vtln"])
@@ -134,7 +135,7 @@ def extract_features(spark: SparkSession, config: dict | str, utterances: DataFr
     if warps is not None:
         on = "item" if "item" in warps.columns else "speaker"
         if seg.select(on).distinct().join(warps.select(on), on, "left_anti").take(1):
-            raise ValueError("warps do not match utterances: some have none")
+            raise ValueError(f"no warp for some {on} of the utterances")
         seg = balanced_join(seg, warps.select(on, "warp"), on)
     feats = extract(seg, p, "item", "warp" if on else None)
     if "cmvn" in c:
@@ -144,13 +145,44 @@ def extract_features(spark: SparkSession, config: dict | str, utterances: DataFr
     if "pitch" in c:
         own = {k: v for k, v in p.get_params().items() if k in ("frame_shift", "frame_length", "sample_rate", "snip_edges")}
         more = {k: v for k, v in c["pitch"].items() if k not in ("processor", "postprocessing")}
-        if c["pitch"]["processor"] == "crepe":
-            more["weights"] = weights
+        crepe = c["pitch"]["processor"] == "crepe"
+        if crepe:
+            more["weights"] = (weights or {}).get("crepe", weights)
+            own.pop("snip_edges")
         raw = extract(seg, Processor(PITCH[c["pitch"]["processor"]], **own, **more), "item")
-        feats = X.concatenate(cut(feats, "features"), cut(pitch_post(raw, **c["pitch"]["postprocessing"]), "pitch"), tolerance=2)
+        post = crepe_post if crepe else pitch_post  # voicing has to become a correlation first, or is one
+        feats = X.concatenate(cut(feats, "features"), cut(post(raw, **c["pitch"]["postprocessing"]), "pitch"), tolerance=2)
     return feats.select("item", "frame", "t0", "t1", F.col("vec").cast("array<float>").alias("vec"))
 
 
+def properties_of(config: dict | str, features: DataFrame) -> DataFrame:
+    """``item, properties`` (JSON) of what ``extract_features`` gave by ``config``: the steps with the columns they made, and each step's parameters."""
+    c = read_config(config)
+    main = next(iter(c))
+    post = c.get("pitch", {}).get("postprocessing", {})
+    pasted = sum(bool(post.get(k)) for k in ("add_pov", "add_normalized", "add_delta", "add_raw")) if "pitch" in c else 0
+    factor = 1 + c["delta"]["order"] if "delta" in c else 1
+    known = Processor(main, **({} if main == "bottleneck" else c[main])).get_params() if main != "bottleneck" else dict(c[main])
+    own = features.groupBy("item").agg(F.max(F.size("vec")).alias("_n"))
+    # a row of one vector as wide as the first step made it
+    first = own.select("item", F.array_repeat(F.lit(0.0), ((F.col("_n") - pasted) / factor).cast("int")).alias("vec"))
+    out = P.start(first, main, known)
+    for k in ("vtln", "cmvn", "delta"):
+        if k in c:
+            out = P.then(out, k, c[k], factor if k == "delta" else 1)
+    if "pitch" in c:
+        out = P.paste(out, P.start(own.select("item", F.array_repeat(F.lit(0.0), pasted).alias("vec")), "pitch", c["pitch"]))
+    return P.as_json(out)
+
+
+def extract_warped(spark: SparkSession, config: dict | str, utterances: DataFrame, signals: DataFrame, warp: float, weights: dict | None = None) -> DataFrame:
+    """``extract_features`` with one warp for every utterance; the configuration must not train warps itself."""
+    c = read_config(config)
+    if "vtln" in c:
+        raise ValueError("the configuration trains warps, so none can be given")
+    return extract_features(spark, c, utterances, signals, utterances.select(F.col("name").alias("item"), F.lit(float(warp)).alias("warp")).distinct(), weights)
+
+
 def _normalise(feats: DataFrame, seg: DataFrame, p: Processor, c: dict) -> DataFrame:
     by = "speaker" if c["by_speaker"] else "item"
     weight = None

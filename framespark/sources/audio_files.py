@@ -91,9 +91,7 @@ _SCANNED = (("nchannels", pa.int32()), ("sample_rate", pa.int32()), ("nsamples",
 
 
 def _head(name: str, size: int) -> dict:
-    from urllib.parse import unquote, urlparse
-
-    with open(unquote(urlparse(name).path) if name.startswith("file:") else name, "rb") as f:
+    with open("/" + name.removeprefix("file:").lstrip("/"), "rb") as f:
         read = HEAD
         while True:
             f.seek(0)

@@ -16,7 +16,7 @@ def load_utterances(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.text(path).where(F.trim("value") != "").select(f.alias("f"), F.size(f).alias("n"))
     kinds = [r.n for r in d.groupBy("n").count().collect()]
     if len(kinds) > 1 or (kinds and not 2 <= kinds[0] <= 5):
-        raise ValueError(f"the utterances format is not homogeneous, or not of 2 to 5 fields: {sorted(kinds)}")
+        raise ValueError(f"lines must all have the same number of fields, from 2 to 5; there are {sorted(kinds)}")
     n = kinds[0] if kinds else 2
     field = lambda i: F.get("f", F.lit(i))
     speaker = field(2) if n in (3, 5) else F.lit(None).cast("string")
@@ -24,10 +24,10 @@ def load_utterances(spark: SparkSession, path: str) -> DataFrame:
     out = d.select(field(0).alias("name"), field(1).alias("audio_file"), speaker.alias("speaker"), start.alias("tstart"), stop.alias("tstop"))
     twice = [r.name for r in out.groupBy("name").count().where("count > 1").limit(10).collect()]
     if twice:
-        raise ValueError(f"duplicates found in utterances: {sorted(twice)}")
+        raise ValueError(f"names that come twice: {sorted(twice)}")
     if n >= 4:
         fine = (F.col("tstart") >= 0) & (F.col("tstop") > F.col("tstart"))
-        out = out.withColumn("tstop", F.when(fine, F.col("tstop")).otherwise(F.raise_error(F.concat(F.lit("we must have 0 <= tstart < tstop: "), "name")).cast("double")))
+        out = out.withColumn("tstop", F.when(fine, F.col("tstop")).otherwise(F.raise_error(F.concat(F.lit("no interval of time, name "), "name")).cast("double")))
     return out
 
 

@@ -26,7 +26,7 @@ def test_cmvn_there_and_back(spark):
     y = C.normalise(f, s, ["item"])
     assert np.allclose(mat(y).mean(0), 0) and np.allclose(mat(y).var(0), 1)
     assert np.allclose(mat(C.normalise(y, s, ["item"], reverse=True)), mat(f))
-    with pytest.raises(Exception, match="insufficient accumulation"):
+    with pytest.raises(Exception, match="no statistics"):
         C.normalise(f, C.accumulate(f.withColumn("w", F.lit(0.0)), ["item"], "w"), ["item"]).collect()
 
 
@@ -60,7 +60,7 @@ def test_vad_extremes(spark):
 
 def test_concatenate_tolerance(spark):
     a, b = make(spark, 12), make(spark, 10, seed=1)
-    with pytest.raises(Exception, match="different number of frames"):
+    with pytest.raises(Exception, match="one side only"):
         X.concatenate(a, b).collect()
     got = X.concatenate(a, b, 2)
     assert got.count() == 20 and np.allclose(mat(got), np.hstack([mat(a)[:10], mat(b)]))

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 
@@ -23,6 +25,49 @@ def test_round_trip(spark, tmp_path, kind):
         collections.save(f, where, kind)
 
 
+@pytest.mark.parametrize("kind", ["parquet", "csv", "npz", "ark"])
+def test_properties_and_extensions(spark, tmp_path, kind):
+    """By the extension alone, with properties of one item of two."""
+    f, where = feats(spark), str(tmp_path / f"feats.{kind}")
+    props = spark.createDataFrame([("æðÐ 1", json.dumps({"mfcc": {"名前": [1, 2.5]}}))], "item string, properties string")
+    collections.save(f, where, properties=props)
+    assert sorted(map(tuple, collections.load(spark, where).select(*f.columns).collect())) == sorted(map(tuple, f.collect()))
+    assert [(r.item, json.loads(r.properties)) for r in collections.load_properties(spark, where).collect()] == [("æðÐ 1", {"mfcc": {"名前": [1, 2.5]}})]
+    with pytest.raises(ValueError, match="extension"):
+        collections.save(f, str(tmp_path / "feats.other"))
+
+
+def test_archives(spark, tmp_path):
+    """The three files of an archive, tables of places, and what is wrong with a part of them."""
+    f, where = feats(spark).coalesce(1), tmp_path / "a.ark"
+    collections.save(f, str(where), scp=True)
+    for scp in where.glob("*.scp"):
+        for line in scp.read_text().splitlines():
+            key, place = line.split()
+            path, at = place.rsplit(":", 1)
+            content = open(path, "rb").read()[int(at) - len(key.encode()) - 1 :]
+            assert next(collections.ark_entries(content))[0] == key
+    told = next(where.glob("*.properties.json"))
+    text = told.read_text()
+    told.write_text(json.dumps({"x": {}}))
+    with pytest.raises(Exception, match="not the same"):
+        collections.load(spark, str(where)).collect()
+    told.unlink()
+    with pytest.raises(Exception, match="has no .properties.json"):
+        collections.load(spark, str(where)).collect()
+    told.write_text(text)
+    next(where.glob("*.times.ark")).unlink()
+    with pytest.raises(Exception, match="has no .times.ark"):
+        collections.load(spark, str(where)).collect()
+
+
+def test_names_of_files(spark, tmp_path):
+    names = ["a/b", "a%2Fb", ".hidden", "_x", "q\"?*", "plain"]
+    f = spark.createDataFrame([(n, 0, 0.0, None, [1.0]) for n in names], SCHEMA)
+    collections.save(f, str(tmp_path / "n.csv"))
+    assert sorted(r.item for r in collections.load(spark, str(tmp_path / "n.csv")).collect()) == sorted(names)
+
+
 def test_unsupported(spark):
     for kind in ("pickle", "matlab", "h5features", "other"):
         with pytest.raises(ValueError):
@@ -54,7 +99,7 @@ def test_texts(spark, tmp_path):
         with pytest.raises(ValueError):
             texts.load_utterances(spark, str(p))
     p.write_text("u1 a.wav 2 1\n")
-    with pytest.raises(Exception, match="0 <= tstart < tstop"):
+    with pytest.raises(Exception, match="no interval of time"):
         texts.load_utterances(spark, str(p)).collect()
     p.write_text("i 0 0.5 a\ni 0.5 1 b\n")
     a = texts.load_alignments(spark, str(p))
@@ -90,9 +135,31 @@ def test_end_to_end(spark, tmp_path):
     d = collections.load(spark, out)
     n = {r.item: r["count"] for r in d.groupBy("item").count().collect()}
     assert n == {"u1": 98, "u2": 18, "u3": 98} and {len(r.vec) for r in d.collect()} == {42}
+    props = {r.item: json.loads(r.properties) for r in collections.load_properties(spark, out).collect()}
+    assert set(props) == set(n) and [(p["name"], p["columns"]) for p in props["u1"]["pipeline"]] == [("mfcc", [0, 12]), ("cmvn", [0, 12]), ("delta", [0, 38]), ("pitch", [39, 41])]
     assert cli.main(["extract", "nowhere", "x", "y", "z"]) == 1
 
 
+def test_crepe_in_the_pipeline(spark):
+    """As many frames as the cepstra have, voicing turned into a correlation; one warp for all utterances."""
+    from framespark.plans.spectral_queries import _convolutions
+
+    r = np.random.default_rng(0)
+    rows = [(f"{n}.wav", 16000, "int16", [float(int(v)) for v in 3000 * np.sin(np.arange(int(16000 * s)) * 0.06) + 20 * r.normal(size=int(16000 * s))]) for n, s in (("a", 1.0), ("b", 0.53))]
+    signals = spark.createDataFrame(rows, "file string, sample_rate int, dtype string, samples array<double>")
+    utts = spark.createDataFrame([("a", "a.wav"), ("b", "b.wav")], "name string, audio_file string")
+    c = pipeline.default_config("mfcc", "crepe")
+    c["mfcc"]["dither"] = 0.0
+    got = pipeline.extract_features(spark, c, utts, signals, weights={"crepe": _convolutions()})
+    counts = {x.item: (x.n, x.w) for x in got.selectExpr("item", "size(vec) w").groupBy("item", "w").count().selectExpr("item", "count n", "w").collect()}
+    assert counts == {"a": (98, 16), "b": (51, 16)}
+    assert all(np.isfinite(x.vec).all() for x in got.collect())
+    plain = pipeline.extract_features(spark, {"mfcc": c["mfcc"]}, utts, signals)
+    same, other = (pipeline.extract_warped(spark, {"mfcc": c["mfcc"]}, utts, signals, w) for w in (1.0, 1.1))
+    key = lambda d: sorted(map(tuple, d.select("item", "frame", "vec").collect()))
+    assert key(same) == key(plain) != key(other)
+
+
 def test_streams(spark, tmp_path):
     from framespark.functions.kernels import rasta
 
