@@ -162,3 +162,58 @@ def interpolate_unvoiced(features: DataFrame, column: Column, voiced: Column, na
     d = features.withColumn("_a", a).withColumn("_b", b)
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("frame") - F.col("_a.f")) / F.greatest(F.col("_b.f") - F.col("_a.f"), F.lit(1))
     return d.withColumn(name, F.coalesce(line, "_a.v", "_b.v")).drop("_a", "_b")
+
+
+def both_voiced(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``item, frame, voiced``: the frames that both masks mark; a frame of one mask only is marked by neither."""
+    return a.select(*KEYS, "voiced").join(b.select(*KEYS, F.col("voiced").alias("_b")), KEYS).select(*KEYS, (F.col("voiced") & F.col("_b")).alias("voiced"))
+
+
+def voiced_share(voiced: DataFrame) -> DataFrame:
+    """``item, frames, share`` of the frames that ``voiced(item, frame, voiced)`` marks; null marks nothing."""
+    return voiced.groupBy("item").agg(F.count(F.lit(1)).alias("frames"), F.avg(F.coalesce(F.col("voiced").cast("double"), F.lit(0.0))).alias("share"))
+
+
+def voiced_segments(voiced: DataFrame) -> DataFrame:
+    """``item, first, last, frames``: the runs of marked frames; a frame that isn't marked, or is missing, ends a run.
+
+    Where a run begins is told by the row before, so only the beginnings are numbered by item, not the frames.
+    """
+    on = voiced.where("voiced").select(*KEYS)
+    edges = windowed(on, 1, lambda d, w: d.withColumns({"_new": F.coalesce(F.lag("frame").over(w) != F.col("frame") - 1, F.lit(True)), "_end": F.coalesce(F.lead("frame").over(w) != F.col("frame") + 1, F.lit(True))}))
+    ends = edges.where("_new or _end")
+    # of beginnings and ends in order, an end follows its beginning at once
+    paired = windowed(ends, 1, lambda d, w: d.withColumn("_last", F.when(F.col("_end"), F.col("frame")).otherwise(F.lead("frame").over(w))))
+    return paired.where("_new").select("item", F.col("frame").alias("first"), F.col("_last").alias("last"), (F.col("_last") - F.col("frame") + 1).cast("int").alias("frames"))
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both collections' frames; an item of both is an error, raised when rows are read."""
+    twice = a.select("item").distinct().join(b.select("item").distinct(), "item", "left_semi").agg(F.min("item").alias("_twice"))
+    fine = twice.select(F.when(F.col("_twice").isNotNull(), F.raise_error(F.concat(F.lit("an item of both collections: "), F.col("_twice").cast("string"))).cast("boolean")).otherwise(F.lit(True)).alias("_fine"))
+    return a.unionByName(b).crossJoin(F.broadcast(fine)).where("_fine").drop("_fine")
+
+
+def shuffled(features: DataFrame, seed: int = 0) -> DataFrame:
+    """Whole items in an order drawn by hash: ``place`` by item, the same on every run with one ``seed``. Frames stay in order within items."""
+    return features.withColumn("place", F.xxhash64("item", F.lit(seed)))
+
+
+def sample(features: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` frames without replacement: those with the least hashes, so tasks send ``n`` each and a run again draws the same. All frames if there are fewer."""
+    if n < 1:
+        raise ValueError(f"n must be at least 1, not {n}")
+    return features.withColumn("_h", F.xxhash64("item", "frame", F.lit(seed))).orderBy("_h", "item", "frame").limit(n).drop("_h")
+
+
+def collection_valid(features: DataFrame) -> DataFrame:
+    """One row: ``items, valid, invalid`` (an item that isn't, if any): whether all items are and have one width."""
+    each = validate(features)
+    width = features.agg(F.min(F.size("vec")).alias("_lo"), F.max(F.size("vec")).alias("_hi"))
+    every = each.agg(F.count(F.lit(1)).alias("items"), F.bool_and("valid").alias("_all"), F.min_by("item", F.col("valid").cast("int")).alias("_one"))
+    return every.crossJoin(F.broadcast(width)).select("items", (F.col("_all") & (F.col("_lo") == F.col("_hi"))).alias("valid"), F.when(~F.col("_all"), F.col("_one")).alias("invalid"))
+
+
+def collection_close(a: DataFrame, b: DataFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """One row: ``items, close``: whether both have the same items and all are close."""
+    return is_close(a, b, rtol, atol).agg(F.count(F.lit(1)).alias("items"), F.bool_and("close").alias("close"))

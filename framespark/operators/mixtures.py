@@ -61,6 +61,40 @@ def posterior(ll: np.ndarray, least: float = 0.0) -> np.ndarray:
     return p
 
 
+def full_loglik(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, covariance: np.ndarray) -> np.ndarray:
+    """[n, g]: log of weight times density of Gaussians with full covariances, by their Cholesky factors; a covariance that isn't positive definite is an error."""
+    out = np.empty((len(x), len(weight)))
+    for g, (w, m, c) in enumerate(zip(weight, mean, covariance)):
+        try:
+            factor = np.linalg.cholesky(np.asarray(c, float))
+        except np.linalg.LinAlgError:
+            raise ValueError(f"the covariance of Gaussian {g} is not positive definite") from None
+        z = np.linalg.solve(factor, (x - m).T)
+        out[:, g] = np.log(w) - 0.5 * ((z * z).sum(axis=0) + x.shape[1] * np.log(2 * np.pi)) - np.log(np.diag(factor)).sum()
+    return out
+
+
+def warp_statistics(warps: DataFrame) -> DataFrame:
+    """One row: ``n, mean, std`` of the warps."""
+    return warps.agg(F.count("warp").alias("n"), F.avg("warp").alias("mean"), F.stddev_pop("warp").alias("std"))
+
+
+def reselect(frames: DataFrame, model: Mixture, earlier: DataFrame, k: int = 15) -> DataFrame:
+    """``item, frame, gselect``: the best ``k`` of the Gaussians that ``earlier(item, frame, gselect)`` has for a frame; frames without any are left out."""
+    kind = frames.schema["item"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ll = model.loglik(matrix(pa.chunked_array([b.column(2)])))
+            out = [np.array(g)[np.argsort(-ll[i, g], kind="stable")[:k]].tolist() for i, g in enumerate(b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["item", "frame", "gselect"])
+
+    both = frames.select("item", "frame", F.col("vec").cast("array<double>")).join(earlier.select("item", "frame", "gselect").where("size(gselect) > 0"), ["item", "frame"])
+    return both.mapInArrow(run, f"item {kind}, frame int, gselect array<int>")
+
+
 def select(frames: DataFrame, model: Mixture, k: int = 15) -> DataFrame:
     """``item, frame, gselect``: the best ``k`` Gaussians of each frame, best first."""
     kind = frames.schema["item"].dataType.simpleString()
@@ -175,21 +209,23 @@ def train(frames: DataFrame, num_gauss: int, num_iters: int = 4, num_iters_init:
     return model, history
 
 
-def normal_equations(plain: DataFrame, warped: DataFrame, dims: int) -> DataFrame:
-    """``i, j, q, l``: sums of x[i] x[j] (x with a 1 appended) and of y[j] x[i], over frames that both have. Long form of the least squares of y on x."""
+def normal_equations(plain: DataFrame, warped: DataFrame, dims: int, weights: DataFrame | None = None) -> DataFrame:
+    """``i, j, q, l``: sums of x[i] x[j] (x with a 1 appended) and of y[j] x[i], over frames that both have, by ``weights(item, frame, weight)`` if given. Long form of the least squares of y on x."""
     y = warped.select("item", "frame", F.col("vec").alias("_y"))
     x = F.concat(F.col("vec").cast("array<double>"), F.array(F.lit(1.0)))
-    d = plain.join(y, ["item", "frame"]).select(x.alias("x"), F.concat(F.col("_y").cast("array<double>"), F.array(F.lit(0.0))).alias("y"))
-    sums = [F.sum(F.get("x", F.lit(i)) * F.get(v, F.lit(j))).alias(f"{v}_{i}_{j}") for i in range(dims + 1) for j in range(dims + 1) for v in "xy"]
+    d = plain.join(y, ["item", "frame"])
+    d = d.join(weights.select("item", "frame", F.col("weight").cast("double").alias("w")), ["item", "frame"]) if weights is not None else d.withColumn("w", F.lit(1.0))
+    d = d.select(x.alias("x"), F.concat(F.col("_y").cast("array<double>"), F.array(F.lit(0.0))).alias("y"), "w")
+    sums = [F.sum(F.col("w") * F.get("x", F.lit(i)) * F.get(v, F.lit(j))).alias(f"{v}_{i}_{j}") for i in range(dims + 1) for j in range(dims + 1) for v in "xy"]
     wide = d.agg(*sums)
     cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x_{i}_{j}").alias("q"), F.col(f"y_{i}_{j}").alias("l")) for i in range(dims + 1) for j in range(dims + 1)))
     return wide.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def mapping_transform(plain: DataFrame, warped: DataFrame, dims: int, renormalise: bool = False) -> np.ndarray:
+def mapping_transform(plain: DataFrame, warped: DataFrame, dims: int, renormalise: bool = False, weights: DataFrame | None = None) -> np.ndarray:
     """[dims, dims + 1]: the affine map that takes plain features nearest to warped ones. Renormalised, it has no offset and its rows are scaled to leave each component's variance as it was."""
     q, right = np.zeros((dims + 1, dims + 1)), np.zeros((dims + 1, dims + 1))
-    for r in normal_equations(plain, warped, dims).collect():
+    for r in normal_equations(plain, warped, dims, weights).collect():
         q[r.i, r.j], right[r.i, r.j] = r.q or 0.0, r.l or 0.0
     a = np.linalg.lstsq(q, right[:, :dims], rcond=None)[0].T
     if not renormalise:

@@ -73,6 +73,45 @@ def trim_vad(spark, d):
     return _vec(X.trim(f, f.select("item", "frame", (F.get("vec", F.lit(1)) > 0.5).alias("voiced"))))
 
 
+def _mask(spark, d, component, least):
+    return views.features(spark, d).select("item", "frame", (F.get("vec", F.lit(component)) > least).alias("voiced"))
+
+
+@R.query(_F + " SELECT item, frame, vec[2] > 0.5 AND vec[1] > 0 AS voiced FROM fea")
+def mask_intersection(spark, d):
+    return X.both_voiced(_mask(spark, d, 1, 0.5), _mask(spark, d, 0, 0.0))
+
+
+@R.query(_F + " SELECT item, count(*) AS frames, round(avg(CASE WHEN vec[2] > 0.5 THEN 1.0 ELSE 0.0 END), 9) AS share FROM fea GROUP BY item")
+def voiced_share(spark, d):
+    return X.voiced_share(_mask(spark, d, 1, 0.5)).withColumn("share", F.round("share", 9))
+
+
+@R.query(_F + ", v AS (SELECT item, frame, frame - row_number() OVER (PARTITION BY item ORDER BY frame) AS g FROM fea WHERE vec[2] > 0.5) SELECT item, min(frame) AS first, max(frame) AS last, CAST(count(*) AS INT) AS frames FROM v GROUP BY item, g")
+def voiced_segments(spark, d):
+    return X.voiced_segments(_mask(spark, d, 1, 0.5))
+
+
+@R.query(_F + " SELECT item, frame, list_transform(vec, lambda v: round(v::DOUBLE + 1e-7::DOUBLE, 4) + 0.0) AS vec FROM fea")
+def collection_union(spark, d):
+    """Two halves by item, put together again."""
+    f = views.features(spark, d)
+    odd = F.length("item") % 2 == 1
+    return _vec(X.union(f.where(odd), f.where(~odd)))
+
+
+@R.query(_F + ", w AS (SELECT *, lag(t0) OVER (PARTITION BY item ORDER BY frame) AS p0, lag(t1) OVER (PARTITION BY item ORDER BY frame) AS p1 FROM fea) SELECT count(DISTINCT item) AS items, min(len(vec)) = max(len(vec)) AND NOT bool_or(coalesce(CASE WHEN t1 IS NOT NULL THEN t1 < p1 OR (t1 = p1 AND t0 < p0) ELSE t0 < p0 END, false)) AS valid FROM w")
+def collection_valid(spark, d):
+    return X.collection_valid(views.features(spark, d)).drop("invalid")
+
+
+@R.query(_F + " SELECT count(DISTINCT item) AS items, true AS close FROM fea")
+def collection_close(spark, d):
+    """Features against themselves written with less precision."""
+    f = views.features(spark, d)
+    return X.collection_close(f, f.withColumn("vec", F.transform("vec", lambda v: v.cast("double") * (1 + 1e-7))))
+
+
 @R.query(f"WITH {FEA}, {UTT} SELECT u.speaker AS part, count(*) AS frames, count(DISTINCT item) AS items FROM fea JOIN utt u ON item = u.name WHERE u.speaker IS NOT NULL GROUP BY 1")
 def partition_by_index(spark, d):
     """Frames and items of each speaker's part."""
@@ -215,14 +254,14 @@ def cmvn_weighted(spark, d):
     return _rounded(C.accumulate(f, weight="w").withColumn("count", F.round("count", 2)))
 
 
-def _sliding(center: bool):
+def _sliding(center: bool, norm: bool = False):
     if center:
         bounds = "CASE WHEN frame - 30 < lo THEN lo WHEN frame + 30 > hi THEN greatest(hi - 60, lo) ELSE frame - 30 END AS a, CASE WHEN frame - 30 < lo THEN least(lo + 60, hi) WHEN frame + 30 > hi THEN hi ELSE frame + 30 END AS b"
     else:
         bounds = "CASE WHEN frame + 1 - lo < 20 THEN lo ELSE greatest(frame - 59, lo) END AS a, CASE WHEN frame + 1 - lo < 20 THEN least(lo + 20, hi) ELSE frame + 1 END AS b"
     return (
         _LONG + f", e AS (SELECT item, min(frame) AS lo, max(frame) + 1 AS hi FROM fea GROUP BY item), p AS (SELECT item, frame, {bounds} FROM fea JOIN e USING (item)),"
-        " y AS (SELECT p.item, p.frame, l.dim, any_value(o.x) - avg(l.x) AS y FROM p JOIN lng l ON p.item = l.item AND l.frame >= p.a AND l.frame < p.b JOIN lng o ON o.item = p.item AND o.frame = p.frame AND o.dim = l.dim GROUP BY p.item, p.frame, l.dim) " + _BACK.format(3)
+        f" y AS (SELECT p.item, p.frame, l.dim, {'(any_value(o.x) - avg(l.x)) / sqrt(greatest(var_pop(l.x), 1e-10))' if norm else 'any_value(o.x) - avg(l.x)'} AS y FROM p JOIN lng l ON p.item = l.item AND l.frame >= p.a AND l.frame < p.b JOIN lng o ON o.item = p.item AND o.frame = p.frame AND o.dim = l.dim GROUP BY p.item, p.frame, l.dim) " + _BACK.format(3)
     )
 
 
@@ -236,6 +275,12 @@ def sliding_cmvn_causal(spark, d):
     return _vec(C.sliding(views.features(spark, d), False, 60, 20), 3)
 
 
+@R.query(_sliding(True, True))
+def sliding_cmvn_vars(spark, d):
+    """By the deviation too, where a window has any."""
+    return _vec(C.sliding(views.features(spark, d), True, 60, 20, norm_vars=True), 3)
+
+
 def _delta(order: int, source: str = "fea") -> str:
     taps = X.delta_taps(order, 2)
     reach = 2 * order
@@ -295,6 +340,15 @@ def warp_join(spark, d):
     return balanced_join(u, w, "speaker").select("name", "speaker", "warp")
 
 
+@R.query(f"WITH {UTT}, w AS (SELECT DISTINCT speaker, 0.85 + 0.01 * ((length(speaker) + ascii(right(speaker, 1))) % 41) AS warp FROM utt WHERE speaker IS NOT NULL) SELECT count(*) AS n, round(avg(warp::DOUBLE), 9) AS mean, round(stddev_pop(warp::DOUBLE), 9) AS std FROM w")
+def warp_statistics(spark, d):
+    from framespark.operators.mixtures import warp_statistics as of
+
+    w = views.utterances(spark, d).where("speaker is not null").select("speaker").distinct()
+    w = of(w.withColumn("warp", 0.85 + 0.01 * ((F.length("speaker") + F.ascii(F.right("speaker", F.lit(1)))) % 41)))
+    return w.select("n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
 @R.query(f"WITH {ALI}, a AS (SELECT token, CAST(idx % 3 AS INT) AS c, offset_s - onset AS len FROM ali), b AS (SELECT token, c, avg(len) AS m FROM a GROUP BY token, c), t AS (SELECT token, avg(m) AS m FROM b GROUP BY token) SELECT round((1 - avg(m)) * 100, 4) AS score FROM t")
 def abx_mean_of_means(spark, d):
     a = views.alignments(spark, d).select("token", (F.col("idx") % 3).alias("c"), (F.col("offset_s") - F.col("onset")).alias("len"))

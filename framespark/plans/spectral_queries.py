@@ -73,21 +73,63 @@ def energy(spark, d):
     return _features(spark, d, "energy", dither=0.0)
 
 
-@R.query()
+_EPS = "1.1920928955078125e-07::DOUBLE"
+#: The bands of perceptual linear prediction, linear; the loudness of their centres.
+_BANDS = _PREP + _MEL.split("fb AS")[0] + f"""loud AS (SELECT sample_rate, list(pow(s / (s + 1.6e5::DOUBLE), 2) * (s + 1.44e6::DOUBLE) / (s + 9.61e6::DOUBLE) ORDER BY b) AS q FROM (SELECT sample_rate, b, pow(700 * (exp(mid / 1127::DOUBLE) - 1), 2) AS s FROM (SELECT DISTINCT sample_rate, b, mid FROM tri WHERE b < 6)) GROUP BY sample_rate),
+bands AS (SELECT signal_id, sample_rate, frame, e, list_transform(w, lambda r: greatest(list_sum(list_transform(range(1, n // 2 + 1), lambda k: r[k] * p[k])), {_EPS})) AS f FROM pow_ JOIN bank USING (sample_rate))"""
+
+
+def _predicted(source: str) -> str:
+    """Cepstra of an all-pole model of order 4 over 6 bands: autocorrelations, the recursion of prediction written out, its cepstrum, lifted."""
+    out = [f", ld AS (SELECT signal_id, frame, e, list_transform(range(1, 7), lambda i: pow(f[i] * q[i], 1 / 3.0::DOUBLE)) AS g FROM {source} JOIN loud USING (sample_rate)), au AS (SELECT signal_id, frame, e"]
+    for k in range(5):
+        terms = " + ".join(f"{2.0 if 0 < i < 7 else 1.0}::DOUBLE * cos(pi() / 7 * {k} * {i}) * g[{min(max(i, 1), 6)}]" for i in range(8))
+        out.append(f", ({terms}) / 14 AS r{k}")
+    out.append(f" FROM ld), s0 AS (SELECT *, greatest(r0, {_EPS}) AS v FROM au)")
+    for i in range(1, 5):
+        mirror = "".join(f" - a{j} * r{i - j}" for j in range(1, i))
+        out.append(f", k{i}_ AS (SELECT *, (r{i}{mirror}) / v AS k FROM s{i - 1})")
+        news = ", ".join([f"a{j} - k * a{i - j} AS a{j}" for j in range(1, i)] + [f"k AS a{i}"])
+        out.append(f", s{i} AS (SELECT signal_id, frame, e, r0, r1, r2, r3, r4, greatest(v * (1 - k * k), {_EPS}) AS v, {news} FROM k{i}_)")
+    out.append(", c1_ AS (SELECT *, a1 AS c1 FROM s4)")
+    for i in range(2, 5):
+        out.append(f", c{i}_ AS (SELECT *, a{i} + " + " + ".join(f"{j} / {i}.0::DOUBLE * c{j} * a{i - j}" for j in range(1, i)) + f" AS c{i} FROM c{i - 1}_)")
+    lifted = ", ".join(f"c{k} * (1 + 11 * sin(pi() * {k} / 22))" for k in range(1, 5))
+    return "".join(out) + " SELECT signal_id, frame, " + _OUT.format(f"[e, {lifted}]") + " FROM c4_"
+
+
+@R.query(_BANDS + _predicted("bands"))
 def plp(spark, d):
-    return extract(views.signals(spark, d), Processor("plp", lpc_order=4, num_ceps=5, **_MELS))
+    return _features(spark, d, "plp", lpc_order=4, num_ceps=5, **_MELS)
 
 
-@R.query()
+@R.query(_BANDS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", lg AS (SELECT signal_id, sample_rate, frame, e, list_transform(f, lambda v: ln(v + {_EPS})) AS f FROM bands),
+feed AS (SELECT *, CASE WHEN frame < 4 THEN list_transform(f, lambda v: 0.0::DOUBLE) ELSE list_transform(range(1, 7), lambda i: 0.2::DOUBLE * f[i] + 0.1::DOUBLE * f1[i] - 0.1::DOUBLE * f3[i] - 0.2::DOUBLE * f4[i]) END AS x FROM (SELECT *, lag(f, 1) OVER o AS f1, lag(f, 3) OVER o AS f3, lag(f, 4) OVER o AS f4 FROM lg WINDOW o AS (PARTITION BY signal_id ORDER BY frame))),
+ra AS (SELECT signal_id, frame, x AS y FROM feed WHERE frame = 0 UNION ALL SELECT f.signal_id, f.frame, list_transform(range(1, 7), lambda i: f.x[i] + 0.94::DOUBLE * ra.y[i]) FROM ra JOIN feed f ON f.signal_id = ra.signal_id AND f.frame = ra.frame + 1),
+out_ AS (SELECT signal_id, sample_rate, frame, e, list_transform(y, lambda v: exp(v)) AS f FROM ra JOIN lg USING (signal_id, frame))""" + _predicted("out_"))
 def rasta_plp(spark, d):
-    return extract(views.signals(spark, d), Processor("plp", with_rasta=True, lpc_order=4, num_ceps=5, **_MELS))
+    return _features(spark, d, "plp", with_rasta=True, lpc_order=4, num_ceps=5, **_MELS)
 
 
-@R.query()
+_WARPED = (
+    _PREP
+    + """,
+hz AS (SELECT sample_rate, n, q, b, 0.85::DOUBLE + q * 0.01::DOUBLE AS a, sample_rate / 2.0::DOUBLE AS top, 700 * (exp((1127 * ln(1 + 20 / 700.0::DOUBLE) + b * (1127 * ln(1 + sample_rate / 2.0::DOUBLE / 700) - 1127 * ln(1 + 20 / 700.0::DOUBLE)) / 7) / 1127) - 1) AS f FROM par, range(0, 8) t(b), range(0, 41) u(q)),
+ends AS (SELECT *, 60 * greatest(1.0::DOUBLE, a) AS l, (top - 20) * least(1.0::DOUBLE, a) AS r FROM hz),
+pts AS (SELECT sample_rate, n, q, b, 1127 * ln(1 + (CASE WHEN abs(a - 1) < 1e-9 OR f < 20 OR f > top THEN f WHEN f < l THEN 20 + (l / a - 20) / (l - 20) * (f - 20) WHEN f < r THEN f / a ELSE top + (top - r / a) / (top - r) * (f - top) END) / 700) AS m FROM ends),
+tri AS (SELECT a.sample_rate, a.n, a.q, a.b, a.m AS lo, c.m AS mid, h.m AS hi FROM pts a JOIN pts c ON c.sample_rate = a.sample_rate AND c.q = a.q AND c.b = a.b + 1 JOIN pts h ON h.sample_rate = a.sample_rate AND h.q = a.q AND h.b = a.b + 2),
+wts AS (SELECT sample_rate, q, b, list(CASE WHEN f > lo AND f < hi THEN CASE WHEN f <= mid THEN (f - lo) / (mid - lo) ELSE (hi - f) / (hi - mid) END ELSE 0.0 END ORDER BY k) AS w FROM (SELECT *, 1127 * ln(1 + k * sample_rate / n::DOUBLE / 700) AS f FROM (SELECT *, unnest(range(0, n // 2)) AS k FROM tri)) GROUP BY sample_rate, q, b),
+bank AS (SELECT sample_rate, q, list(w ORDER BY b) AS w FROM wts GROUP BY sample_rate, q),
+fb AS (SELECT signal_id, frame, list_transform(w, lambda r: ln(greatest(list_sum(list_transform(range(1, n // 2 + 1), lambda k: r[k] * p[k])), 1.1920928955078125e-07))) AS f FROM pow_ JOIN bank ON bank.sample_rate = pow_.sample_rate AND bank.q = signal_id % 41)"""
+)
+
+
+@R.query(_WARPED + " SELECT signal_id, frame, " + _OUT.format("f") + " FROM fb")
 def filterbank_warped(spark, d):
     """With a warp per signal from its number."""
     s = views.signals(spark, d).withColumn("warp", 0.85 + (F.col("signal_id") % 41) * 0.01)
-    return extract(s, Processor("filterbank", num_bins=6, dither=0.0, vtln_low=60.0, vtln_high=-20.0), warp="warp")
+    out = extract(s, Processor("filterbank", vtln_low=60.0, vtln_high=-20.0, **_MELS), warp="warp", precision="double")
+    return out.select("signal_id", "frame", F.transform("vec", lambda v: F.round(v, 3) + 0.0).alias("vec"))
 
 
 _PITCH = {"min_f0": 20.0, "max_f0": 100.0, "resample_freq": 0.0, "delta_pitch": 0.02, "dither": 0.0, "frame_length": 0.1, "frame_shift": 0.02, "soft_min_f0": 5.0}
@@ -108,11 +150,11 @@ _V = "v AS (SELECT item, frame, vec[2]::DOUBLE AS c, ln(vec[3]::DOUBLE) AS lg FR
 _W = "1 / (1 + exp(-(-5.2::DOUBLE + 5.4::DOUBLE * exp(7.5::DOUBLE * (c - 1)) + 4.8::DOUBLE * c - 2 * exp(-10 * c) + 4.2::DOUBLE * exp(20 * (c - 1)))))"
 
 
-@R.query(f"WITH {FEA}, {_V}, w AS (SELECT *, {_W} AS w FROM v), o AS (SELECT item, frame, 2 * (pow(1.0001::DOUBLE - c, 0.15::DOUBLE) - 1) AS a, (lg - sum(w * lg) OVER k / sum(w) OVER k) * 2 AS b, lg FROM w WINDOW k AS (PARTITION BY item ORDER BY frame ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING))"
-  " SELECT item, frame, list_transform([a, b, lg], lambda x: round(x + 1e-7::DOUBLE, 4) + 0.0) AS vec FROM o")
+@R.query(f"WITH {FEA}, {_V}, w AS (SELECT *, {_W} AS w FROM v), o AS (SELECT item, frame, 2 * (pow(1.0001::DOUBLE - c, 0.15::DOUBLE) - 1) AS a, (lg - sum(w * lg) OVER k / sum(w) OVER k) * 2 AS b, lg FROM w WINDOW k AS (PARTITION BY item ORDER BY frame ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING)), e AS (SELECT item, frame, a, b, lg, coalesce(lag(lg, 2) OVER o, first_value(lg) OVER o) AS m2, lag(lg, 1, lg) OVER o AS m1, lead(lg, 1, lg) OVER o AS p1, coalesce(lead(lg, 2) OVER o, last_value(lg) OVER o) AS p2 FROM o WINDOW o AS (PARTITION BY item ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+  " SELECT item, frame, list_transform([a, b, (-0.2::DOUBLE * m2 - 0.1::DOUBLE * m1 + 0.1::DOUBLE * p1 + 0.2::DOUBLE * p2) * 10, lg], lambda x: round(x + 1e-7::DOUBLE, 4) + 0.0) AS vec FROM e")
 def pitch_post_columns(spark, d):
     f = views.features(spark, d).select("item", "frame", F.slice("vec", 2, 2).alias("vec")).where("vec[1] > 0 and vec[1] <= 1500 and vec[0] between 0 and 1")
-    out = pitch_post(f, add_delta=False, add_raw=True)
+    out = pitch_post(f, add_raw=True)
     return out.select("item", "frame", F.transform("vec", lambda v: F.round(v + 1e-7, 4) + 0.0).alias("vec"))
 
 

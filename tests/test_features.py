@@ -114,3 +114,45 @@ def test_fit_to_duration(spark):
     with pytest.raises(Exception, match="not enough utterances"):
         U.fit_to_duration(d, 1.3).collect()
     assert {r.name: r.duration for r in U.fit_to_duration(d, 1.3, truncate=True).collect()} == {"u1": 0.5, "u2": 0.8, "u3": 1.2}
+
+
+def test_union_sample_and_shuffle(spark):
+    rows = [(i, f, [float(f)]) for i in ("a", "b", "c") for f in range(40)]
+    df = spark.createDataFrame(rows, "item string, frame int, vec array<double>")
+    with pytest.raises(Exception, match="both collections: b"):
+        X.union(df.where("item < 'c'"), df.where("item > 'a'")).collect()
+    for n in (1, 17, 500):
+        got = [(r.item, r.frame) for r in X.sample(df, n, 3).collect()]
+        assert len(got) == len(set(got)) == min(n, 120) and got == [(r.item, r.frame) for r in X.sample(df.repartition(5), n, 3).collect()]
+    with pytest.raises(ValueError):
+        X.sample(df, 0)
+    places = {s: {r.item: r.place for r in X.shuffled(df, s).collect()} for s in (0, 1)}
+    assert all(len(set(p.values())) == 3 for p in places.values()) and places[0] != places[1]
+    timed = lambda d: d.withColumns({"t0": F.col("frame") * 0.01, "t1": F.lit(None).cast("double")})
+    assert tuple(X.collection_valid(timed(df)).first()) == (3, True, None)
+    assert not X.collection_valid(timed(df.unionByName(spark.createDataFrame([("d", 0, [1.0, 2.0])], df.schema)))).first().valid
+
+
+def test_gaussians(spark):
+    """Full covariances against the density written out; a choice within an earlier one; weighted normal equations."""
+    from framespark.operators import mixtures as M
+
+    r = np.random.default_rng(1)
+    x, c = r.normal(size=(9, 3)), np.array([[2.0, 0.5, 0.1], [0.5, 1.0, 0.2], [0.1, 0.2, 1.5]])
+    m = np.array([0.3, -1.0, 2.0])
+    want = np.log(0.4) - 0.5 * (np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m) + 3 * np.log(2 * np.pi) + np.log(np.linalg.det(c)))
+    assert np.allclose(M.full_loglik(x, [0.4], [m], [c])[:, 0], want)
+    with pytest.raises(ValueError, match="Gaussian 0"):
+        M.full_loglik(x, [1.0], [m], [-c])
+    model = M.Mixture(np.full(4, 0.25), np.arange(4.0)[:, None] * np.ones((4, 3)), np.ones((4, 3)))
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "item string, frame int, vec array<double>")
+    earlier = spark.createDataFrame([("a", i, [3, 0, 2]) for i in range(8)] + [("a", 8, [])], "item string, frame int, gselect array<int>")
+    got = {g.frame: g.gselect for g in M.reselect(df, model, earlier, 2).collect()}
+    ll = model.loglik(x)
+    assert got == {i: sorted([0, 2, 3], key=lambda g: -ll[i, g])[:2] for i in range(8)}
+    w = spark.createDataFrame([("a", i, 0.5 * (i % 3)) for i in range(9)], "item string, frame int, weight double")
+    y = df.withColumn("vec", F.transform("vec", lambda v: v * 2 + 1))
+    cells = {(q.i, q.j): (q.q, q.l) for q in M.normal_equations(df, y, 3, w).collect()}
+    k, xp = 0.5 * (np.arange(9) % 3), np.hstack([x, np.ones((9, 1))])
+    assert all(np.isclose(cells[i, j][0], (k * xp[:, i] * xp[:, j]).sum()) for i in range(4) for j in range(4))
+    assert all(np.isclose(cells[i, j][1], (k * xp[:, i] * (2 * x[:, j] + 1)).sum()) for i in range(4) for j in range(3))
