@@ -203,6 +203,25 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def send(spark, path: str) -> None:
+    """Sends the vocabulary's file from the driver to the executors, once an application, so that they need not have it installed."""
+    context = spark.sparkContext
+    if (context.applicationId, path) not in _SENT:
+        _SENT.add((context.applicationId, path))
+        context.addFile(path)
+
+
+def received(path: str) -> str:
+    """The file on a worker: as sent, or where it lies if nothing was."""
+    from pyspark import SparkFiles
+
+    sent = SparkFiles.get(os.path.basename(path))
+    return sent if os.path.exists(sent) else path
+
+
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
@@ -223,9 +242,10 @@ def _groups(texts: list[str | None]):
 
 def _encoded(documents: DataFrame, key: str, text: str, path: str, counts_only: bool) -> DataFrame:
     kind = documents.schema[key].dataType.simpleString()
+    send(documents.sparkSession, path)
 
     def run(batches):
-        made = encoder(path)
+        made = encoder(received(path))
         for batch in batches:
             done = 0
             for group in _groups(batch.column(1).to_pylist()):

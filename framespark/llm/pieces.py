@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framespark.sources.views import once
+
 LIMIT_S, OVERLAP_S, PAUSE_S = 4.0, 0.2, 0.25
 #: Letters: the longest click, and the shortest quiet on either side of one, in seconds.
 CLICK_LETTERS, CALM_S = 5, 0.02
@@ -94,24 +96,15 @@ def _calm(rate: Column) -> Column:
 
 
 def quiet(text: DataFrame) -> DataFrame:
-    """Adds ``rest`` (the stretches between quiet ones, one more than those) and ``runs``: array of (at, len, pause)."""
+    """Adds ``rest`` (the stretches between quiet ones, one more than those) and ``runs``: array of (len, pause)."""
     d = text.withColumn("_q", _calm(F.col("rate")))
     d = d.withColumn("_runs", F.regexp_extract_all("text", "_q", F.lit(0))).withColumn("rest", F.expr("split(text, _q, -1)"))
-    d = d.withColumn("_lens", F.transform("_runs", F.length)).withColumn("_gaps", F.transform("rest", F.length))
+    d = d.withColumn("_lens", F.transform("_runs", F.length))
     voiced = lambda x: F.length(F.replace(x, F.lit("q"), F.lit(""))) > CLICK_LETTERS
     d = d.withColumn("_first", voiced(F.element_at("rest", 1))).withColumn("_last", voiced(F.element_at("rest", -1)))
-    # places by one pass: the running end of each quiet stretch
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size("_runs")), F.array().cast("array<int>"),
-        lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.element_at("_gaps", i) + F.element_at("_lens", i))),
-    )
-    d = d.withColumn("_ends", F.when(F.size("_runs") > 0, ends).otherwise(F.array().cast("array<int>")))
     count = F.size("_runs")
-    run = lambda e, i: F.struct(
-        (e - F.element_at("_lens", i + 1)).alias("at"), F.element_at("_lens", i + 1).alias("len"),
-        ((F.element_at("_lens", i + 1) >= F.col("rate") * PAUSE_S) & (F.col("_first") | (i > 0)) & (F.col("_last") | (i < count - 1))).alias("pause"),
-    )
-    return d.withColumn("runs", F.transform("_ends", run)).drop("_q", "_runs", "_lens", "_gaps", "_first", "_last", "_ends")
+    run = lambda n, i: F.struct(n.alias("len"), ((n >= F.col("rate") * PAUSE_S) & (F.col("_first") | (i > 0)) & (F.col("_last") | (i < count - 1))).alias("pause"))
+    return d.withColumn("runs", F.transform("_lens", run)).drop("_q", "_runs", "_lens", "_first", "_last")
 
 
 def found_pauses(signals: DataFrame, key: str = "signal_id") -> DataFrame:
@@ -131,6 +124,19 @@ def cutting(limit: int | Column, least: int | Column) -> Column:
     return F.concat(*parts, F.lit("|.{1,"), most, F.lit("}"))
 
 
+#: Numbers whose running sum is one step of ``running``.
+STRIDE = 256
+
+
+def running(d: DataFrame, lengths: str, name: str) -> DataFrame:
+    """Adds ``name``: the running sums of an array of numbers, by stretches of ``STRIDE`` and then over these, for an array is copied each time it grows."""
+    grown = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+    starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("_within", F.transform(starts, lambda i: grown(F.slice(lengths, i, STRIDE))))
+    d = d.withColumn("_before", grown(F.transform("_within", lambda w: F.element_at(w, -1))))
+    return d.withColumn(name, F.flatten(F.transform("_within", lambda w, i: F.transform(w, lambda n: n + F.when(i > 0, F.get("_before", i - 1)).otherwise(F.lit(0)))))).drop("_within", "_before")
+
+
 def pieces(signals: DataFrame, key: str = "signal_id", keep: tuple[str, ...] = (), limit_s: float = LIMIT_S, overlap_s: float = OVERLAP_S) -> DataFrame:
     """``key, keep..., piece_no, start, stop, boundary`` (samples, ``stop`` exclusive) of every signal with samples.
 
@@ -152,8 +158,7 @@ def pieces(signals: DataFrame, key: str = "signal_id", keep: tuple[str, ...] = (
     cut_ = F.regexp_extract_all("_marked", cutting(room, F.greatest(F.floor(room / 4).cast("int"), F.lit(1))), F.lit(0))
     d = d.withColumn("_cut", F.when(F.length("_marked") <= most, F.array("_marked")).otherwise(cut_))
     d = d.select(key, *keep, "n", "hop", back.alias("_back"), F.transform("_cut", F.length).alias("_len"), F.transform("_cut", lambda t: F.substring(t, -1, 1)).alias("_by"))
-    ends = F.aggregate("_len", F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
-    d = d.withColumn("_end", ends)
+    d = running(d, "_len", "_end")
     at = F.posexplode(F.arrays_zip(F.col("_end").alias("e"), F.col("_len").alias("l"), F.col("_by").alias("b")))
     d = d.select(key, *keep, "n", "hop", "_back", F.size("_end").alias("_count"), at.alias("piece_no", "_p"))
     start = F.greatest(F.col("_p.e") - F.col("_p.l") - F.when(F.col("piece_no") > 0, F.col("_back")).otherwise(0), F.lit(0)).cast("bigint") * F.col("hop")
@@ -163,6 +168,6 @@ def pieces(signals: DataFrame, key: str = "signal_id", keep: tuple[str, ...] = (
 
 def piece_samples(signals: DataFrame, key: str = "signal_id") -> DataFrame:
     """Pieces with their samples: ``key, audio_file, sample_rate, piece_no, start, stop, boundary, samples``. Equal rows count once."""
-    once = signals.select(key, "audio_file", "sample_rate", "dtype", "samples").where("samples is not null and size(samples) > 0").dropDuplicates([key])
-    plan = pieces(once.withColumn("_keep", F.struct("audio_file", F.col("sample_rate").alias("sample_rate"), F.col("samples").alias("samples"))), key, ("_keep",))
+    rows = once(signals.select(key, "audio_file", "sample_rate", "dtype", "samples"), key).where("samples is not null and size(samples) > 0")
+    plan = pieces(rows.withColumn("_keep", F.struct("audio_file", F.col("sample_rate").alias("sample_rate"), F.col("samples").alias("samples"))), key, ("_keep",))
     return plan.select(key, "_keep.audio_file", "_keep.sample_rate", "piece_no", "start", "stop", "boundary", F.slice("_keep.samples", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("samples"))

@@ -224,6 +224,13 @@ def test_containers(spark):
     assert packing.fill_containers(df.limit(0), capacity=100).count() == 0
 
 
+def test_running_sums(spark):
+    r = random.Random(2)
+    rows = [(i, [r.randint(1, 9) for _ in range(n)]) for i, n in enumerate((0, 1, 255, 256, 257, 1000))]
+    for x in pieces.running(spark.createDataFrame(rows, "i int, l array<int>"), "l", "e").collect():
+        assert x.e == np.cumsum(x.l).astype(int).tolist()
+
+
 def test_blocks_of_layout():
     text = "# Head one #\n\nA para\nwrapped. Two.\n\n- item a\n- item b. More.\n1. no item\n\n1. one\n2) two\n\nTitle\n=====\n```\ncode. Not. Text.\n```\nAfter.\n---\n\n***\n~~~\nopen"
     got = [(k, text[a:b]) for k, a, b in sentences.blocks(text)]
