@@ -18,8 +18,11 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +45,7 @@ MARKS = ".!?…。．！？｡।॥؟۔։።፧፨။༎།។៕"
 WIDE = "。．！？｡…።፧፨။།༎។៕"
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "„": "“", "«": "»", "‹": "›"}
 CLOSING = set(PAIRS.values()) | {'"', "”", "’", "`"}
+_OPENS = {c: "".join(o for o in PAIRS if PAIRS[o] == c) for c in PAIRS.values()}
 
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _HEAD = re.compile(r"[ ]{0,3}#{1,6}(?:[ \t]+|$)")
@@ -52,6 +56,7 @@ _FENCE = re.compile(r"[ ]{0,3}(```+|~~~+)")
 _MARK = re.compile(f"[{re.escape(MARKS)}]+")
 _SIGN = re.compile("[" + re.escape("".join({*PAIRS, *CLOSING} - {"’"})) + "]")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"\S+")
 _THAI = re.compile(r"[฀-๿]")
 _NARROW = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿＀-￯　-ヿ]")
@@ -61,6 +66,17 @@ _PHRASED = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]")
 _UNIT = re.compile(r"(?:[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff]|[\u2e80-\u9fff\uf900-\ufaff\u3040-\u30ff])[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ecd\u0f71-\u0fbc\u102b-\u103e\u17b4-\u17d3]*|[^\s\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff]+")
 
 
+def remembered(f: Callable[[str], str]) -> Callable[[str], str]:
+    """``f`` of short strings, which come again and again, is looked up; long ones are not kept."""
+    known = lru_cache(maxsize=1 << 16)(f)
+
+    @wraps(f)
+    def look(t: str) -> str:
+        return known(t) if len(t) <= 48 else f(t)
+
+    return look
+
+
 def blocks(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the blocks of a text: ``text``, ``item`` and ``head``; fenced code, rules and markers are in none."""
     out: list[tuple[str, int, int]] = []
@@ -108,28 +124,49 @@ def blocks(text: str) -> list[tuple[str, int, int]]:
 
 def spans(block: str) -> list[tuple[int, int]]:
     """Matched quotations and brackets of a block as (place of the opening, place of the closing sign); what has no partner is none."""
-    found, stack = [], []
+    found, stack, open_ = [], [], Counter()
+
+    def match(signs: str, at: int) -> bool:
+        """Closes the last of ``signs`` that is open, and drops what was opened after it; looked for only if there is one, so each opening is passed once."""
+        if not any(open_[c] for c in signs):
+            return False
+        while True:
+            c, start = stack.pop()
+            open_[c] -= 1
+            if c in signs:
+                found.append((start, at))
+                return True
+
     for m in _SIGN.finditer(block):
         c, p = m[0], m.start()
         if c in '"`':
-            back = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-            if back is not None:
-                found.append((stack[back][1], p))
-                del stack[back:]
-            else:
-                stack.append((c, p))
-            continue
-        back = next((k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == c), None)
-        if back is None and c == "”":
-            back = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in "“„"), None)
-        if back is not None:
-            found.append((stack[back][1], p))
-            del stack[back:]
-        elif c in PAIRS:
+            done = match(c, p)
+        else:
+            done = match(_OPENS.get(c, ""), p) or c == "”" and match("“„", p)
+        if not done and (c in PAIRS or c in '"`'):
             stack.append((c, p))
+            open_[c] += 1
     return found
 
 
+class Covered:
+    """Whether a place lies in one of some spans, after its opening sign and up to its closing one."""
+
+    def __init__(self, found: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(found):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def __contains__(self, place: int) -> bool:
+        i = bisect_left(self.starts, place) - 1
+        return i >= 0 and place <= self.ends[i]
+
+
+@remembered
 def shape(word: str) -> str:
     """What a word that is too rare to count by itself counts as."""
     lead = ""
@@ -159,8 +196,12 @@ def right_type(block: str, at: int) -> str:
         return block[at : at + 4]
     if _NARROW.match(block, at) and not "가" <= block[at] <= "힯":
         return block[at : at + 2]
-    word = _WORD.match(block, at)[0]
-    return re.sub(r"\d+", "0", word.rstrip(",;:")) if word else "?"
+    return _plain(_WORD.match(block, at)[0])
+
+
+@remembered
+def _plain(word: str) -> str:
+    return _DIGITS.sub("0", word.rstrip(",;:"))
 
 
 def left_type(block: str, start: int, mark: int, end: int) -> str:
@@ -181,6 +222,7 @@ def left_type(block: str, start: int, mark: int, end: int) -> str:
     return word + marks
 
 
+@remembered
 def left_shape(left: str) -> str:
     """What a rare word before a full stop counts as."""
     m = re.match(r"(.*?)(\.[^.]*)$", left)
@@ -200,7 +242,7 @@ def gaps(block: str) -> list[tuple[int, int, str, str, bool]]:
     out: list[tuple[int, int, str, str, bool]] = []
     size = len(block)
     inner = spans(block)
-    closers = {b for _, b in inner}
+    closers, covered = {b for _, b in inner}, Covered(inner)
     phrased = len(_PHRASED.findall(block)) * 3 > size
     places: list[tuple[int, int, int]] = []
     for m in _MARK.finditer(block):
@@ -224,7 +266,7 @@ def gaps(block: str) -> list[tuple[int, int, str, str, bool]]:
         places.sort()
     before = 0
     for mark, done, end in places:
-        if any(a < end <= b for a, b in inner):
+        if end in covered:
             continue
         nxt = _SPACE.match(block, end)
         start = nxt.end() if nxt else end
@@ -240,18 +282,19 @@ def gaps(block: str) -> list[tuple[int, int, str, str, bool]]:
     return out
 
 
+@remembered
 def word_type(unit: str) -> str:
     """The type of a word that may end or begin a sentence without a mark."""
-    return re.sub(r"\d+", "0", unit.strip("\"'“”«»()[]「」『』,;:，、；：" + MARKS).lower()) or "?"
+    return _DIGITS.sub("0", unit.strip("\"'“”«»()[]「」『』,;:，、；：" + MARKS).lower()) or "?"
 
 
 def between_words(block: str) -> list[tuple[int, int, str, str, bool]]:
     """The gaps between all units of a block, as ``gaps`` gives them; left types begin with a blank."""
     units = list(_UNIT.finditer(block))
-    inner = spans(block)
+    covered = Covered(spans(block))
     out = []
     for a, b in zip(units, units[1:]):
-        if not any(x < b.start() <= y for x, y in inner):
+        if b.start() not in covered:
             out.append((a.end(), b.start(), " " + word_type(a[0]), right_type(block, b.start()), bool(out)))
     return out
 
