@@ -413,7 +413,7 @@ def test_splits_of_the_table(spark, data):
     assert all(abs(sum(r.split == s for r in got) / n - q) < 0.05 for s, q in splits.SHARES.items())
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p4_pieces", "p7_packs", "p8_found"])
+@pytest.mark.parametrize("name", ["p4_found", "p4_pieces", "p4_samples", "p6_ids", "p6_counts", "p7_packs", "p7_use", "p8_method", "p8_found", "p8_sentences"])
 def test_queries_run(spark, data, name):
     df = queries.QUERIES[name](spark, data)
     assert df.count() > 0 and df.where(F.col(df.columns[0]).isNull()).count() == 0
