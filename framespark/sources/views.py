@@ -32,11 +32,15 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("signal_id", "item", "audio_file", "sample_rate", "dtype", "samples")
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
-    """``item, frame, t0, t1, vec``: the row of each frame ingested last, if all its values are finite."""
+def latest(spark: SparkSession, d: str) -> DataFrame:
+    """``item, frame, t0, t1, vec``: the row of each frame ingested last."""
     best = F.max_by(F.struct("t0", "t1", "vec"), "ingested_at").alias("b")
-    rows = table(spark, d, "features").groupBy("item", "frame").agg(best).select("item", "frame", "b.t0", "b.t1", "b.vec")
-    return rows.where(~F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+    return table(spark, d, "features").groupBy("item", "frame").agg(best).select("item", "frame", "b.t0", "b.t1", "b.vec")
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """``latest``, of frames whose values are all finite."""
+    return latest(spark, d).where(~F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
 def alignments(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +63,7 @@ def audio_meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 SIG = "sig AS (SELECT signal_id, any_value(item) AS item, any_value(audio_file) AS audio_file, any_value(sample_rate) AS sample_rate, any_value(dtype) AS dtype, any_value(samples) AS samples FROM signals WHERE samples IS NOT NULL AND len(samples) > 0 GROUP BY signal_id)"
+ALL = "fea AS (SELECT item, frame, t0, t1, vec FROM (SELECT *, row_number() OVER (PARTITION BY item, frame ORDER BY ingested_at DESC) AS r FROM features) WHERE r = 1)"
 FEA = "fea AS (SELECT item, frame, t0, t1, vec FROM (SELECT *, row_number() OVER (PARTITION BY item, frame ORDER BY ingested_at DESC) AS r FROM features) WHERE r = 1 AND len(list_filter(vec, lambda x: NOT isfinite(x))) = 0)"
 ALI = "ali AS (SELECT DISTINCT item, idx, onset, offset_s, token FROM alignments)"
 META = "meta AS (SELECT file, max_by(nchannels, audio_id) AS nchannels, max_by(sample_rate, audio_id) AS sample_rate, max_by(nsamples, audio_id) AS nsamples, max_by(nsamples, audio_id) / max_by(sample_rate, audio_id) AS duration FROM audio_meta GROUP BY file)"
