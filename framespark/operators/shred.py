@@ -185,7 +185,7 @@ def records(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def paths(nodes: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
-    """``key, node, parent, label, ordinal, kind, path, owner`` of the objects and arrays: their place, and the node of the nearest enclosing object (null: none).
+    """``key, node, object, element, path, owner`` of the objects and arrays: whether it is an object, and in an array; its place, and the node of the nearest enclosing object (null: none).
 
     ``key`` must tell records apart, and ``nodes`` be read from files. A node knows the labels up to an ancestor and that ancestor;
     a round joins it with what the ancestor knows. ``$`` is the root; it is not written before fields. Paths of a record nested
@@ -194,11 +194,11 @@ def paths(nodes: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
     edge = F.when(F.col("parent") < 0, F.lit("")).when(F.col("ordinal").isNull(), F.concat(F.lit("."), "label")).otherwise(F.concat(F.lit("["), F.col("ordinal").cast("string"), F.lit("]")))
     # a node without ordinal is a field, so what is above it is an object
     direct = F.when((F.col("parent") >= 0) & F.col("ordinal").isNull(), F.col("parent"))
-    now = nodes.where("kind in ('object', 'array')").select(key, "node", "parent", "label", "ordinal", "kind", F.col("parent").alias("up"), edge.alias("path"), direct.alias("owner"))
+    now = nodes.where("kind in ('object', 'array')").select(key, "node", (F.col("kind") == "object").alias("object"), F.col("ordinal").isNotNull().alias("element"), F.col("parent").alias("up"), edge.alias("path"), direct.alias("owner"))
     for _ in range(most_rounds):
         above = now.select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("owner").alias("_owner"))
         joined = now.where("up >= 0").join(above, F.col(key).eqNullSafe(F.col("_key")) & (F.col("up") == F.col("_node")))
-        higher = joined.select(key, "node", "parent", "label", "ordinal", "kind", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.coalesce("owner", "_owner").alias("owner"))
+        higher = joined.select(key, "node", "object", "element", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.coalesce("owner", "_owner").alias("owner"))
         last, now = now, cut(now.where("up < 0").unionByName(higher), "paths")
         discard(last)
         if not now.where("up >= 0").take(1):
@@ -211,8 +211,8 @@ def paths(nodes: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
 
 def links(placed: DataFrame, key: str) -> DataFrame:
     """``key, node, child_path, parent_path`` of the objects that are elements of arrays, from ``paths``: joined with the object that encloses them."""
-    child = placed.where("kind = 'object' and ordinal is not null").select(key, "node", "owner", F.col("path").alias("child_path"))
-    parent = placed.where("kind = 'object'").select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("path").alias("parent_path"))
+    child = placed.where("object and element").select(key, "node", "owner", F.col("path").alias("child_path"))
+    parent = placed.where("object").select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("path").alias("parent_path"))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("owner") == F.col("_node"))
     return child.join(parent, same, "left").select(key, "node", "child_path", F.coalesce("parent_path", F.lit("$")).alias("parent_path"))
 
@@ -237,7 +237,7 @@ def number_arrays(nodes: DataFrame, placed: DataFrame, key: str, label: str) ->
     """Arrays of arrays of numbers named ``label`` in long form: ``key, path, row, col, value``; ``path`` is the outer array's."""
     inner = nodes.where((F.col("kind") == "array") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(F.col(key).alias("_key"), F.col("node").alias("_node"), F.col("ordinal").alias("row"), F.col("parent").alias("_outer"))
     cells = nodes.where((F.col("kind") == "scalar") & (F.col("label") == label) & F.col("ordinal").isNotNull()).select(key, "parent", F.col("ordinal").alias("col"), F.col("scalar").try_cast("double").alias("value"))
-    outer = placed.where(F.col("kind") == "array").select(F.col(key).alias("_of"), F.col("node").alias("_at"), "path")
+    outer = placed.where("not object").select(F.col(key).alias("_of"), F.col("node").alias("_at"), "path")
     within = cells.join(inner, F.col(key).eqNullSafe(F.col("_key")) & (F.col("parent") == F.col("_node")))
     return within.join(outer, F.col(key).eqNullSafe(F.col("_of")) & (F.col("_outer") == F.col("_at"))).select(key, "path", "row", "col", "value")
 
