@@ -283,15 +283,38 @@ def viterbi(cost: np.ndarray, step: np.ndarray) -> np.ndarray:
     return path
 
 
-def pitch(x, o: FrameOptions, min_f0: float = 50.0, max_f0: float = 400.0, soft_min_f0: float = 10.0, penalty_factor: float = 0.1, resample_freq: float = 4000.0, delta_pitch: float = 0.005, nccf_ballast: float = 7000.0, **_) -> np.ndarray:
-    """[frames, 2]: cross-correlation at the chosen lag, and pitch; the lags lie on a logarithmic scale, the path through them is the cheapest."""
+def sinc_weights(times: np.ndarray, rate: float, cutoff: float, zeros: float) -> tuple[np.ndarray, np.ndarray]:
+    """(samples, weights) [times, span] of a low-pass at ``cutoff`` Hz: a sinc of ``zeros`` zero crossings under a raised cosine."""
+    half = zeros / (2.0 * cutoff)
+    at = np.ceil((times - half) * rate).astype(np.int64)[:, None] + np.arange(int(2 * half * rate) + 1)[None, :]
+    d = times[:, None] - at / rate
+    return at, np.where(np.abs(d) < half, 0.5 * (1 + np.cos(2 * np.pi * cutoff / zeros * d)) * 2 * cutoff * np.sinc(2 * cutoff * d), 0.0) / rate
+
+
+def lowpass_resample(x: np.ndarray, old: float, new: float, cutoff: float, zeros: float) -> np.ndarray:
+    """Samples at another rate without what lies above ``cutoff`` Hz; silence is taken beyond the ends."""
+    count = int(len(x) * new / old)
+    if not count:
+        return np.zeros(0)
+    at, w = sinc_weights(np.arange(count) / new, old, cutoff, zeros)
+    return (np.where((at >= 0) & (at < len(x)), x[np.clip(at, 0, len(x) - 1)], 0.0) * w).sum(axis=1)
+
+
+def pitch(x, o: FrameOptions, min_f0: float = 50.0, max_f0: float = 400.0, soft_min_f0: float = 10.0, penalty_factor: float = 0.1, resample_freq: float = 4000.0, delta_pitch: float = 0.005, nccf_ballast: float = 7000.0, lowpass_cutoff: float = 1000.0, lowpass_filter_width: int = 1, upsample_filter_width: int = 5, **_) -> np.ndarray:
+    """[frames, 2]: cross-correlation at the chosen lag, and pitch; the lags lie on a logarithmic scale, the path through them is the cheapest.
+
+    A signal of another rate than ``resample_freq`` is brought to it under a low-pass; with ``resample_freq`` 0 it is taken as it is.
+    """
     x = np.asarray(x, np.float64)
     if resample_freq and resample_freq != o.sample_rate:
-        x = resample(x, int(len(x) * resample_freq / o.sample_rate))
+        if not 0 < lowpass_cutoff <= min(resample_freq, o.sample_rate) / 2:
+            raise ValueError(f"lowpass_cutoff must be above 0 and at most half of either rate, it is {lowpass_cutoff}")
+        x = lowpass_resample(x, o.sample_rate, resample_freq, lowpass_cutoff, lowpass_filter_width)
     rate = resample_freq or o.sample_rate
+    more = int(np.ceil(upsample_filter_width / 2))  # whole lags on either side that finer ones are made of
     length, shift = int(rate * o.frame_length + 1e-9), int(rate * o.frame_shift + 1e-9)
     lags = 1.0 / min_f0 * (1 + delta_pitch) ** -np.arange(int(np.log(max_f0 / min_f0) / np.log(1 + delta_pitch)) + 1)
-    most = int(np.ceil(rate / min_f0)) + 1
+    most = int(np.ceil(rate / min_f0)) + 1 + more
     count = 1 + (len(x) - length) // shift if len(x) >= length else 0
     if count < 1:
         return np.zeros((0, 2))
@@ -301,17 +324,18 @@ def pitch(x, o: FrameOptions, min_f0: float = 50.0, max_f0: float = 400.0, soft_
     base = base - base.mean(axis=1, keepdims=True)
     ballast = ((x * x).mean() * length) ** 2 / max(nccf_ballast, 1.0) + 1e-10
     e0 = (base * base).sum(axis=1)
-    first = max(1, int(np.floor(rate / max_f0)) - 1)
+    first = max(1, int(np.floor(rate / max_f0)) - 1 - more)
     whole = np.arange(first, most + 1)
     nccf = np.zeros((count, len(whole)))
     for i, lag in enumerate(whole):
         other = x[at + lag]
         other = other - other.mean(axis=1, keepdims=True)
         nccf[:, i] = (base * other).sum(axis=1) / np.sqrt(e0 * (other * other).sum(axis=1) + ballast)
-    place = np.clip(lags * rate - first, 0, len(whole) - 1.001)
-    low = place.astype(int)
-    share = place - low
-    fine = nccf[:, low] * (1 - share) + nccf[:, low + 1] * share
+    near, w = sinc_weights(lags - first / rate, rate, rate / 2, upsample_filter_width)
+    w = np.where((near >= 0) & (near < len(whole)), w, 0.0)
+    spread = np.zeros((len(whole), len(lags)))
+    np.add.at(spread, (np.clip(near, 0, len(whole) - 1), np.arange(len(lags))[:, None]), w)
+    fine = nccf @ spread
     step = penalty_factor * (np.log(lags)[:, None] - np.log(lags)[None, :]) ** 2 / np.log(1 + delta_pitch) ** 2 * delta_pitch
     path = viterbi(1.0 - fine * (1.0 - soft_min_f0 * lags), step)
     return np.stack([fine[np.arange(count), path], 1.0 / lags[path]], axis=1)

@@ -122,3 +122,17 @@ def test_networks():
     w = {"first": [(r.normal(size=(144, 8)), np.zeros(8), "sigmoid")], "second": [(r.normal(size=(40, 80)), np.zeros(80), "linear")]}
     assert K.bottleneck(tone(8000), K.FrameOptions(), w).shape == (48, 80)
     assert K.voicing(np.array([0.0, 0.1, 0.9, 1.0, 0.9, 0.1, 0.0] + [0.0] * 5)).sum() >= 0
+
+
+def test_lowpass():
+    """A slow tone passes a wide filter as it is, a fast one doesn't; the tracker takes the filter's parameters and checks them."""
+    t, u = np.arange(16000) / 16000, np.arange(4000) / 4000
+    slow, fast = (K.lowpass_resample(np.sin(2 * np.pi * f * t), 16000, 4000, 1000, 12) for f in (200, 1700))
+    assert np.abs(slow - np.sin(2 * np.pi * 200 * u))[100:-100].max() < 0.01 and np.abs(fast)[100:-100].max() < 0.01
+    assert len(K.lowpass_resample(np.zeros(3), 16000, 4000, 1000, 1)) == 0
+    x = 4000 * np.sin(2 * np.pi * 150 * t)
+    p = K.pitch(x, K.FrameOptions(dither=0.0), lowpass_cutoff=1500.0, lowpass_filter_width=2, upsample_filter_width=7)
+    assert abs(np.median(p[:, 1]) - 150) < 1
+    with pytest.raises(ValueError, match="lowpass_cutoff"):
+        K.pitch(x, K.FrameOptions(dither=0.0), lowpass_cutoff=2500.0)
+    assert {"lowpass_cutoff", "lowpass_filter_width", "upsample_filter_width"} <= set(Processor("kaldi_pitch").get_params())
