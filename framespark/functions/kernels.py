@@ -347,30 +347,34 @@ def stack(x: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return x[at].reshape(len(x), -1)
 
 
-def bottleneck(x, o: FrameOptions, weights: dict, **_) -> np.ndarray:
+def bottleneck(x, o: FrameOptions, weights: dict, seed: int = 0, **_) -> np.ndarray:
     """Two networks over log mel energies: ``weights['first']`` and ``['second']`` are lists of (matrix, bias, activation).
 
     24 mel bands of an 8 kHz signal, mean off over voiced frames (those whose energy isn't of the lowest of three classes), contexts of
-    11 frames under a window and six cosines, then the first net's output at -10, -5, 0, 5 and 10 frames. Trained weights are the caller's.
+    11 frames under a window and six cosines, then the first net's output at -10, -5, 0, 5 and 10 frames; the first and last frame are repeated 15 times before either.
+    Energies are sums of squares that wrap around in 16 bits, as the trained networks have them. Dither is uniform. A signal without voiced frames has the mean of all taken off. Trained weights are the caller's.
     """
     rate = 8000
     y = as_int16(resample(np.asarray(x, np.float64), int(len(x) * rate / o.sample_rate)), "int16")
     own = FrameOptions(rate, 0.01, 0.025, 0.0, 0.0, False, "hamming", True, snip_edges=True)
     if len(y) < own.length:
         return np.zeros((0, 80))
-    fb = np.log(np.maximum(1.0, np.sqrt(power(prepare(y, own)[0], own))[:, : own.padded // 2] @ mel_bank(MelOptions(24, 64.0, 3800.0), rate, own.padded)[0].T))
-    voiced = energy_classes((cut_frames(y, own) ** 2).sum(axis=1)) < 0.3
+    noisy = y + o.dither * np.random.default_rng(seed).uniform(-1.0, 1.0, len(y)) if o.dither else y
+    fb = np.log(np.maximum(1.0, np.sqrt(power(prepare(noisy, own)[0], own))[:, : own.padded // 2] @ mel_bank(MelOptions(24, 64.0, 3800.0), rate, own.padded)[0].T))
+    short = y.astype(np.int16)
+    voiced = energy_classes(cut_frames(short * short, own).sum(axis=1)) < 0.3
     fb = fb - (fb[voiced].mean(axis=0) if voiced.any() else fb.mean(axis=0))
-    context = stack(fb, tuple(range(-5, 6))).reshape(len(fb), 11, 24)
+    count, fb = len(fb), np.pad(fb, ((15, 15), (0, 0)), mode="edge")
+    context = stack(fb, tuple(range(-5, 6)))[5:-5].reshape(-1, 11, 24)
     cosines = np.cos(np.pi / 11 * np.arange(6)[:, None] * (np.arange(11)[None, :] + 0.5)) * np.hamming(11)
-    h = np.einsum("tcb,kc->tbk", context, cosines).reshape(len(fb), -1)
+    h = np.einsum("tcb,kc->tbk", context, cosines).reshape(len(context), -1)
     h = network(h, weights["first"])
-    return network(stack(h, (-10, -5, 0, 5, 10)), weights["second"])
+    return network(stack(h, (-10, -5, 0, 5, 10))[10 : 10 + count], weights["second"])
 
 
 def energy_classes(e: np.ndarray, rounds: int = 5) -> np.ndarray:
-    """Posterior of the lowest of three normal classes of log energies, after a few rounds of expectation-maximisation; 1 where all are equal."""
-    z = np.log(np.maximum(e, 1.0))
+    """Posterior of the lowest of three normal classes of energies, after a few rounds of expectation-maximisation; 1 where all are equal."""
+    z = np.asarray(e, np.float64)
     if z.std() == 0:
         return np.ones(len(z))
     z = (z - z.mean()) / z.std()

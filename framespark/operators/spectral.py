@@ -30,6 +30,8 @@ class Processor:
 
     def defaults(self) -> dict:
         out = {f.name: f.default for f in fields(K.FrameOptions)}
+        if self.name == "bottleneck":
+            out["dither"] = 0.1
         signature = inspect.signature(K.KERNELS[self.name]).parameters
         if "m" in signature:
             out |= {f.name: f.default for f in fields(K.MelOptions)}
