@@ -7,6 +7,7 @@ Arrow batches are reduced to sufficient statistics per task, which Spark adds up
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framespark.operators.blocks import matrix, vectors
-from framespark.plans.cuts import cut
+from framespark.plans.cuts import cut, discard
 
 NORM_TYPES = ("offset", "none", "diag")
 
@@ -150,19 +151,22 @@ def accumulate(frames: DataFrame, model: Mixture, weight: str | None = None) ->
 
 def estimate(stats: DataFrame, model: Mixture, min_weight: float = 1e-4, min_var: float = 1e-3, drop_low: bool = False) -> tuple[Mixture, float]:
     """(new model, log-likelihood of the old): a Gaussian with too little keeps its parameters, or is dropped."""
-    rows = {r.g: r for r in stats.collect()}
-    total = sum(r.n for r in rows.values())
+    found = stats.collect()
+    return _estimated({r.g: (r.n, np.array(r.s1), np.array(r.s2)) for r in found}, sum(r.ll for r in found), model, min_weight, min_var, drop_low)
+
+
+def _estimated(rows: dict, ll: float, model: Mixture, min_weight: float = 1e-4, min_var: float = 1e-3, drop_low: bool = False) -> tuple[Mixture, float]:
+    total = sum(n for n, _, _ in rows.values())
     weight, mean, var = [], [], []
     for g in range(len(model.weight)):
-        r = rows.get(g)
-        n = r.n if r else 0.0
+        n, s1, s2 = rows.get(g, (0.0, None, None))
         if n > max(min_weight * total, 1e-8):
-            m = np.array(r.s1) / n
-            weight.append(n / total), mean.append(m), var.append(np.maximum(np.array(r.s2) / n - m * m, min_var))
+            m = s1 / n
+            weight.append(n / total), mean.append(m), var.append(np.maximum(s2 / n - m * m, min_var))
         elif not drop_low:
             weight.append(max(n / max(total, 1e-300), min_weight)), mean.append(model.mean[g]), var.append(model.var[g])
     w = np.array(weight)
-    return Mixture(w / w.sum(), np.array(mean), np.array(var)), sum(r.ll for r in rows.values())
+    return Mixture(w / w.sum(), np.array(mean), np.array(var)), ll
 
 
 def initial(frames: DataFrame, num_gauss: int, seed: int = 0) -> Mixture:
@@ -194,17 +198,21 @@ def split(model: Mixture, target: int, perturb: float = 0.1, seed: int = 0) -> M
 
 def train(frames: DataFrame, num_gauss: int, num_iters: int = 4, num_iters_init: int = 20, initial_proportion: float = 0.5, subsample: int = 5, seed: int = 0, min_weight: float = 1e-4) -> tuple[Mixture, list[float]]:
     """(model, log-likelihood at each iteration): few Gaussians first, split as it goes, then iterations on subsampled frames."""
-    start = max(1, int(initial_proportion * num_gauss))
-    model, history = initial(frames, start, seed), []
-    step = max(1, int((num_gauss - start) / max(num_iters_init / 2, 1)))
+    thin = frames.where(F.col("frame") % subsample == 0)
+    start = initial(frames, max(1, int(initial_proportion * num_gauss)), seed)
+    return _grown(start, lambda m, whole: estimate(accumulate(frames if whole else thin, m), m, min_weight), num_gauss, num_iters, num_iters_init, seed)
+
+
+def _grown(model: Mixture, better, num_gauss: int, num_iters: int, num_iters_init: int, seed: int) -> tuple[Mixture, list[float]]:
+    """``better(model, whole)``: (the model after an iteration over all or the subsampled frames, log-likelihood of the one before)."""
+    history, step = [], max(1, int((num_gauss - len(model.weight)) / max(num_iters_init / 2, 1)))
     for i in range(num_iters_init):
-        model, ll = estimate(accumulate(frames, model), model, min_weight)
+        model, ll = better(model, True)
         history.append(ll)
         if len(model.weight) < num_gauss:
             model = split(model, min(num_gauss, len(model.weight) + step), seed=seed + i)
-    thin = frames.where(F.col("frame") % subsample == 0)
     for i in range(num_iters):
-        model, ll = estimate(accumulate(thin, model), model, min_weight, drop_low=False)
+        model, ll = better(model, False)
         history.append(ll)
     return model, history
 
@@ -227,7 +235,12 @@ def mapping_transform(plain: DataFrame, warped: DataFrame, dims: int, renormalis
     q, right = np.zeros((dims + 1, dims + 1)), np.zeros((dims + 1, dims + 1))
     for r in normal_equations(plain, warped, dims, weights).collect():
         q[r.i, r.j], right[r.i, r.j] = r.q or 0.0, r.l or 0.0
-    a = np.linalg.lstsq(q, right[:, :dims], rcond=None)[0].T
+    return _map(q, right[:, :dims], renormalise)
+
+
+def _map(q: np.ndarray, right: np.ndarray, renormalise: bool) -> np.ndarray:
+    dims = right.shape[1]
+    a = np.linalg.lstsq(q, right, rcond=None)[0].T
     if not renormalise:
         return a
     if not q[dims, dims]:
@@ -251,69 +264,181 @@ def _fitted(n: np.ndarray, s: np.ndarray, norm_type: str) -> tuple[np.ndarray, n
     return scale, offset, parts.sum(axis=1)
 
 
-def choose_warps(frames: DataFrame, model: Mixture, transforms: dict[float, np.ndarray], key: str, logdet_scale: float = 0.0, norm_type: str = "offset", now: str = "vec", k: int = 15, least: float = 0.025) -> DataFrame:
-    """``key, warp, score, scale, offset``: for each key the warp whose map, followed by an offset (``offset``), a scale and an offset (``diag``) or neither (``none``), has the best auxiliary function.
+#: Frames at a time, so that what is made of them stays near the processor; bytes of sums by key that a task holds before it sends them.
+CHUNK, HELD = 2048, 32 << 20
+
+
+def _linear(model: Mixture) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, [g, 2 d + 1]): by the second a centred frame, its squares and 1 become log-likelihoods. Single precision is enough for those, the centre being the model's own."""
+    c, iv = model.weight @ model.mean, 1.0 / model.var
+    m = model.mean - c
+    const = np.log(model.weight) - 0.5 * (np.log(2 * np.pi * model.var) + m * m * iv).sum(axis=1)
+    return c, np.hstack([m * iv, -0.5 * iv, const[:, None]]).astype(np.float32)
+
+
+def _chunks(x: np.ndarray, centre: np.ndarray, buffer: np.ndarray):
+    """(place, centred frames, their squares and 1, one row each) of each chunk."""
+    d = len(centre)
+    for a in range(0, len(x), CHUNK):
+        v = buffer[:, : len(x[a : a + CHUNK])]
+        v[:d] = (x[a : a + CHUNK] - centre).T
+        np.multiply(v[:d], v[:d], out=v[d : 2 * d])
+        v[2 * d] = 1.0
+        yield a, v
+
+
+def _summed(blocks, model: Mixture) -> np.ndarray | None:
+    """[g, 2 d + 2]: of all frames the sums of posterior, posterior times frame and times squares, the log-likelihood in the last column of the first row."""
+    (c, w), total, ll = _linear(model), None, 0.0
+    g, d = model.mean.shape
+    buffer, one = np.empty((2 * d + 1, CHUNK), np.float32), np.ones(g, np.float32)
+    for x in blocks:
+        for _, v in _chunks(x, c, buffer):
+            p = w @ v
+            top = p.max(axis=0)
+            p -= top
+            np.exp(p, out=p)
+            s = one @ p
+            part = (p @ (v / s).T).astype(np.float64)
+            total = part if total is None else total + part
+            ll += float((top + np.log(s)).sum(dtype=np.float64))
+    if total is None:
+        return None
+    n, s1, s2 = total[:, -1:], total[:, :d], total[:, d : 2 * d]
+    return np.hstack([n, s1 + n * c, s2 + 2 * c * s1 + n * c * c, np.r_[ll, np.zeros(g - 1)][:, None]])
+
+
+def _pruned(ll: np.ndarray, k: int, least: float) -> np.ndarray:
+    """``posterior`` over the best ``k`` columns of each row, 0 elsewhere. Of sorted weights a prefix survives: as far as each is ``least`` or more of the sum down to it."""
+    n, g = ll.shape
+    e = np.exp(ll - ll.max(axis=1, keepdims=True))
+    q = np.sort(np.partition(e, g - k, axis=1)[:, g - k :] if k < g else e, axis=1)[:, ::-1]
+    s = np.cumsum(q, axis=1)
+    kept = np.maximum((q >= least * s).sum(axis=1), 1)
+    last, whole = (v[np.arange(n), kept - 1][:, None] for v in (q, s))
+    inside = e >= last
+    p = np.where(inside, e, 0) / whole
+    for i in np.flatnonzero(inside.sum(axis=1) != kept):  # equals at the edge: the first of them
+        order = np.argsort(-e[i], kind="stable")[: kept[i]]
+        p[i] = 0
+        p[i, order] = e[i, order] / whole[i]
+    return p
+
+
+def _pairs(d: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(d + 1)
+
+
+def _key_sums(pieces, model: Mixture, k: int, least: float):
+    """(key, n, sums) of pieces (keys, frames of each, x, z): of the frames x of each key, with posteriors at z, the sums of c and m times products of (x, 1), as much as any map needs.
 
-    Posteriors are those of the column ``now``, pruned. Each task sends a row per key and warp.
+    With posteriors p, c is p / var and m is p mean / var, by component. A key comes again if what is held grew too large.
     """
+    (c, w), d = _linear(model), model.mean.shape[1]
+    iv = 1.0 / model.var
+    both = np.hstack([iv, iv * model.mean]).astype(np.float32)
+    i, j = _pairs(d)
+    last = np.flatnonzero(j == d)
+    buffer, held, size = np.empty((2 * d + 1, CHUNK), np.float32), {}, 8 * (d * len(i) + d * (d + 1))
+    for keys, counts, x, z in pieces:
+        cm = np.empty((len(x), 2 * d))
+        for a, v in _chunks(z, c, buffer):
+            cm[a : a + v.shape[1]] = _pruned(v.T @ w.T, k, least) @ both
+        at = 0
+        for name, n in zip(keys, counts):
+            if not n:
+                continue
+            v = np.hstack([x[at : at + n], np.ones((n, 1))])
+            s = cm[at : at + n].T @ (v[:, i] * v[:, j])
+            s = np.concatenate([s[:d].ravel(), s[d:, last].ravel()])
+            before = held.get(name)
+            held[name] = (n, s) if before is None else (before[0] + n, before[1] + s)
+            at += n
+        if len(held) * size > HELD:
+            yield from ((name, *v) for name, v in held.items())
+            held = {}
+    yield from ((name, *v) for name, v in held.items())
+
+
+def _best(n: np.ndarray, s: np.ndarray, maps: np.ndarray, factors: np.ndarray, logdet: np.ndarray, norm_type: str):
+    """(warp, score, scale, offset) of each key: of warps that are as good as each other the one nearest 1."""
+    many, d = len(n), maps.shape[1]
+    i, j = _pairs(d)
+    squares, linear = s[:, : d * len(i)].reshape(many, d, -1), s[:, d * len(i) :].reshape(many, d, d + 1)
+    last = np.flatnonzero(j == d)
+    by = np.argsort(np.abs(factors - 1.0), kind="stable")
+    a = maps[by]
+    sums = np.empty((many, len(by), 5, d))
+    sums[:, :, 0], sums[:, :, 1] = squares[:, None, :, -1], linear[:, None, :, -1]
+    sums[:, :, 2] = np.einsum("kde,wde->kwd", squares[:, :, last], a)
+    sums[:, :, 3] = np.einsum("kdp,wdp->kwd", squares, a[:, :, i] * a[:, :, j] * np.where(i == j, 1.0, 2.0))
+    sums[:, :, 4] = np.einsum("kde,wde->kwd", linear, a)
+    scale, offset, score = _fitted(np.repeat(n, len(by)), sums.reshape(-1, 5, d), norm_type)
+    score = score.reshape(many, -1) + logdet[by] * n[:, None]
+    at = (np.arange(many), score.argmax(axis=1))
+    return factors[by][at[1]], score[at], scale.reshape(many, -1, d)[at], offset.reshape(many, -1, d)[at]
+
+
+def _chosen(frames: DataFrame, pieces, model: Mixture, transforms: dict[float, np.ndarray], key: str, logdet_scale: float, norm_type: str, k: int, least: float) -> DataFrame:
+    """``key, warp, score, scale, offset``. ``pieces``: what makes batches of ``frames`` those of ``_key_sums``. Sums go by key, a row of bytes for each task that has it."""
     if norm_type not in NORM_TYPES:
         raise ValueError(f"norm_type must be in {list(NORM_TYPES)}, it is {norm_type}")
     kind = frames.schema[key].dataType.simpleString()
-    factors = sorted(transforms)
+    factors = np.array(sorted(transforms))
     maps = np.array([transforms[f] for f in factors])
-    d = maps.shape[1]
-    logdet = {f: float(np.linalg.slogdet(transforms[f][:, :-1])[1]) for f in factors}
+    logdet = logdet_scale * np.linalg.slogdet(maps[:, :, :-1])[1]
 
     def run(batches):
-        iv = 1.0 / model.var
-        total: dict = {}
+        for some in _lots(_key_sums(pieces(batches), model, k, least), 1024):
+            names, n, s = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64()), pa.array([v.tobytes() for v in s], pa.binary())], [key, "n", "s"])
+
+    def whole(batches):
+        name, n, s = None, 0, 0.0
+        for b in batches:
+            for other, m, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if n and other != name:
+                    yield name, n, s
+                    n, s = 0, 0.0
+                name, n, s = other, n + m, s + np.frombuffer(t)
+        if n:
+            yield name, n, s
+
+    def fit(batches):
+        for some in _lots(whole(batches), 256):
+            names, n, s = zip(*some)
+            warp, score, scale, offset = _best(np.array(n, float), np.array(s), maps, factors, logdet, norm_type)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(warp), pa.array(score), vectors(scale), vectors(offset)], [key, "warp", "score", "scale", "offset"])
+
+    parts = frames.mapInArrow(run, f"`{key}` {kind}, n long, s binary")
+    return parts.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(fit, f"`{key}` {kind}, warp double, score double, scale array<double>, offset array<double>")
+
+
+def _lots(rows, size: int):
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        yield some
+
+
+def choose_warps(frames: DataFrame, model: Mixture, transforms: dict[float, np.ndarray], key: str, logdet_scale: float = 0.0, norm_type: str = "offset", now: str = "vec", k: int = 15, least: float = 0.025) -> DataFrame:
+    """``key, warp, score, scale, offset``: for each key the warp whose map, followed by an offset (``offset``), a scale and an offset (``diag``) or neither (``none``), has the best auxiliary function.
+
+    Posteriors are those of the column ``now``, pruned. Each task sends a row per key.
+    """
+
+    def pieces(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             x, z = matrix(pa.chunked_array([b.column(1)])), matrix(pa.chunked_array([b.column(2)]))
-            order, ll = _selected(z, model, k)
-            p = np.zeros((len(z), len(model.weight)))
-            np.put_along_axis(p, order, posterior(ll, least), axis=1)
-            c, m = p @ iv, p @ (iv * model.mean)
             keys = b.column(0).dictionary_encode()
             codes = keys.indices.to_numpy()
             by = np.argsort(codes, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(codes[by]) > 0])
-            x, c, m = x[by], c[by], m[by]
-            counts = np.diff(np.r_[starts, len(by)])
-            sums = np.empty((len(starts), len(factors), 5, d))
-            sums[:, :, 0], sums[:, :, 1] = np.add.reduceat(c, starts)[:, None], np.add.reduceat(m, starts)[:, None]
-            for w, a in enumerate(maps):
-                y = x @ a[:, :-1].T + a[:, -1]
-                cy = c * y
-                for at, v in ((2, cy), (3, cy * y), (4, m * y)):
-                    sums[:, w, at] = np.add.reduceat(v, starts)
-            for i, code in enumerate(codes[by][starts]):
-                name = keys.dictionary[int(code)].as_py()
-                n, s = total.get(name, (0, 0.0))
-                total[name] = n + int(counts[i]), s + sums[i]
-        if total:
-            many = len(factors)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name for name in total for _ in factors]), pa.array(factors * len(total), pa.float64()), pa.array(np.repeat([float(n) for n, _ in total.values()], many)), vectors(np.concatenate([s.reshape(many, 5 * d) for _, s in total.values()]))],
-                [key, "warp", "n", "s"],
-            )
-
-    def fit(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n, warp = b.column(2).to_numpy(), b.column(1).to_numpy()
-            scale, offset, score = _fitted(n, matrix(pa.chunked_array([b.column(3)])).reshape(-1, 5, d), norm_type)
-            score = score + logdet_scale * n * np.array([logdet[f] for f in warp])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), vectors(scale), vectors(offset)], [key, "warp", "score", "scale", "offset"])
+            yield [keys.dictionary[int(c)].as_py() for c in codes[by][starts]], np.diff(np.r_[starts, len(by)]), x[by], z[by]
 
     arrays = [F.col(v).cast("array<double>").alias(f"_{i}") for i, v in enumerate(("vec", now))]
-    parts = frames.where(F.col(key).isNotNull()).select(key, *arrays).mapInArrow(run, f"`{key}` {kind}, warp double, n double, s array<double>")
-    summed = parts.groupBy(key, "warp").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(5 * d))).alias("s"))
-    fitted = summed.mapInArrow(fit, f"`{key}` {kind}, warp double, score double, scale array<double>, offset array<double>")
-    best = F.max_by(F.struct("warp", "score", "scale", "offset"), F.struct("score", -F.abs(F.col("warp") - 1.0))).alias("_b")
-    return fitted.groupBy(key).agg(best).select(key, "_b.*")
+    return _chosen(frames.where(F.col(key).isNotNull()).select(key, *arrays), pieces, model, transforms, key, logdet_scale, norm_type, k, least)
 
 
 def apply_transform(frames: DataFrame, warps: DataFrame, transforms: dict[float, np.ndarray], key: str) -> DataFrame:
@@ -329,19 +454,117 @@ def apply_transform(frames: DataFrame, warps: DataFrame, transforms: dict[float,
     return frames.join(maps, key, "left").withColumn("vec", F.coalesce(moved, F.col("vec").cast("array<double>"))).drop("_a", *(f"_{c}" for c in more))
 
 
-def train_warps(plain: DataFrame, warped: dict[float, DataFrame], key: str, num_gauss: int = 64, num_iters: int = 15, logdet_scale: float = 0.0, seed: int = 0, norm_type: str = "offset", subsample: int = 5) -> tuple[DataFrame, dict[float, np.ndarray], Mixture]:
-    """(``key, warp, score, scale, offset``; maps by warp; model): the mixture and the warps in turn, each iteration two passes over every ``subsample``-th frame."""
+def _block(column, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all frames of a column of float32 bytes, how many each row has)."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    values = column.buffers()[2]
+    x = np.frombuffer(values, np.float32, (ends[-1] - ends[0]) // 4, int(ends[0])) if values is not None and ends[-1] > ends[0] else np.zeros(0, np.float32)
+    return x.reshape(-1, d), np.diff(ends) // (4 * d)
+
+
+def _moved(b, maps: np.ndarray, factors: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frames, how many each row has, frames under the map of their row) of a batch of ``key, thin, warp, scale, offset``; rows without a warp are left as they are."""
+    x, counts = _block(b.column(1), d)
+    has = np.asarray(b.column(2).is_valid())
+    a, offset = np.tile(np.eye(d), (len(has), 1, 1)), np.zeros((len(has), d))
+    if has.any():
+        m = maps[np.searchsorted(factors, b.column(2).drop_null().to_numpy() - 1e-9)]
+        scale, more = (matrix(pa.chunked_array([b.column(i).drop_null()])) for i in (3, 4))
+        a[has], offset[has] = m[:, :, :-1] * scale[:, :, None], m[:, :, -1] * scale + more
+    z, at = np.empty(x.shape), np.r_[0, np.cumsum(counts)]
+    for i in range(len(has)):
+        z[at[i] : at[i + 1]] = x[at[i] : at[i + 1]] @ a[i].T
+    return x, counts, z + np.repeat(offset, counts, axis=0)
+
+
+def _added(frames: DataFrame, of) -> np.ndarray | None:
+    """The sum of the vectors that ``of`` makes of batches. The driver gets one for each task, of which there are four a core at most."""
+
+    def run(batches):
+        total = None
+        for v in of(batches):
+            total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    parts = frames.coalesce(4 * frames.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "s binary").collect()
+    return sum((np.frombuffer(r.s) for r in parts[1:]), np.frombuffer(parts[0].s)) if parts else None
+
+
+def _better(frames: DataFrame, blocks, model: Mixture, min_weight: float = 1e-4) -> tuple[Mixture, float]:
+    """(model after an iteration over ``frames``, log-likelihood of the old). ``blocks``: what makes batches matrices of frames."""
+    g, d = model.mean.shape
+
+    s = _added(frames, lambda batches: (v.ravel() for v in [_summed(blocks(batches), model)] if v is not None)).reshape(g, -1)
+    return _estimated({i: (r[0], r[1 : d + 1], r[d + 1 : 2 * d + 1]) for i, r in enumerate(s)}, float(s[0, -1]), model, min_weight)
+
+
+def _start(frames: DataFrame, num_gauss: int, dims: int, seed: int, subsample: int) -> Mixture:
+    """``initial`` of packed frames."""
+
+    def moments(batches):
+        for x in (_block(b.column(i), dims)[0].astype(np.float64) for b in batches for i in (0, 1)):
+            yield np.r_[len(x), x.sum(axis=0), (x * x).sum(axis=0)]
+
+    sums = _added(frames.select("thin", "rest"), moments)
+    n = 0 if sums is None else int(sums[0])
+    if n < 10 * num_gauss:
+        raise ValueError(f"too few frames ({n}) to train {num_gauss} Gaussians")
+    var = sums[dims + 1 :] / n - (sums[1 : dims + 1] / n) ** 2
+    if not (var > 0).all():
+        raise ValueError("features have components of zero variance")
+    each = frames.select("item", "n").distinct().select("item", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame"))
+    drawn = [(r.item, r.frame) for r in each.orderBy(F.xxhash64("item", "frame", F.lit(seed)), "item", "frame").limit(num_gauss).collect()]
+    wanted: dict = {}
+    for item, frame in drawn:
+        wanted.setdefault(item, []).append(frame)
+    kind = frames.schema["item"].dataType.simpleString()
+
+    def pick(batches):
+        for b in batches:
+            for item, thin, rest in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if item not in wanted:
+                    continue
+                first, others = (np.frombuffer(v, np.float32).reshape(-1, dims) for v in (thin, rest))
+                rows = [others[f - f // subsample - 1] if f % subsample else first[f // subsample] for f in wanted[item]]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows)), pa.array(wanted[item], pa.int32()), vectors(np.array(rows, np.float64))], ["item", "frame", "vec"])
+
+    found = {(r.item, r.frame): r.vec for r in frames.where(F.col("item").isin(*wanted)).select("item", "thin", "rest").mapInArrow(pick, f"item {kind}, frame int, vec array<double>").collect()}
+    return Mixture(np.full(num_gauss, 1 / num_gauss), np.array([found[f] for f in drawn]), np.tile(var, (num_gauss, 1)))
+
+
+def train_warps(frames: DataFrame, factors: tuple[float, ...], key: str, num_gauss: int = 64, num_iters: int = 15, logdet_scale: float = 0.0, seed: int = 0, norm_type: str = "offset", subsample: int = 5) -> tuple[DataFrame, dict[float, np.ndarray], Mixture]:
+    """(``key, warp, score, scale, offset``; maps by warp; model) of ``spectral.packed`` frames under ``factors``, every ``subsample``-th frame thin: the mixture and the warps in turn, each iteration two passes over the thin frames."""
     if norm_type not in NORM_TYPES:
         raise ValueError(f"norm_type must be in {list(NORM_TYPES)}, it is {norm_type}")
-    dims = len(plain.select("vec").first()[0])
-    every = F.col("frame") % subsample == 0
-    thin = cut(plain.where(every), "thin")
-    maps = {f: np.hstack([np.eye(dims), np.zeros((dims, 1))]) if f == 1.0 else mapping_transform(thin, w.where(every), dims, True) for f, w in warped.items()}
-    model, _ = train(plain, num_gauss, seed=seed, subsample=subsample)
-    warps = cut(choose_warps(thin, model, maps, key, logdet_scale, norm_type), "warps")
+    total = _added(frames.where("sums is not null").select("sums"), lambda batches: (np.frombuffer(v) for b in batches for v in b.column(0).to_pylist()))
+    if total is None:
+        raise ValueError("no frames to find maps between warps from")
+    dims = next(d for d in range(1, len(total)) if (d + 1) * (d + 1 + d * len(factors)) >= len(total))
+    q, right = np.split(total.reshape(dims + 1, -1), [dims + 1], axis=1)
+    maps = {f: np.hstack([np.eye(dims), np.zeros((dims, 1))]) if f == 1.0 else _map(q, y, True) for f, y in zip(factors, np.split(right, len(factors), axis=1))}
+    rows = frames.where("sums is null").drop("sums")
+    thin = rows.select(key, "thin")
+    names = np.array(sorted(maps))
+    by_name = np.array([maps[f] for f in names])
+
+    def whole(batches):
+        return (_block(b.column(i), dims)[0] for b in batches for i in range(b.num_columns))
+
+    def now(batches):
+        for b in batches:
+            x, counts, z = _moved(b, by_name, names, dims)
+            yield b.column(0).to_pylist(), counts, x.astype(np.float64), z
+
+    columns = [key, "thin", "warp", "scale", "offset"]
+    first = thin.selectExpr(f"`{key}`", "thin", "cast(null as double) as warp", "cast(null as array<double>) as scale", "cast(null as array<double>) as offset")
+    start = _start(rows, max(1, num_gauss // 2), dims, seed, subsample)
+    model, _ = _grown(start, lambda m, every: _better(rows.select("thin", "rest") if every else rows.select("thin"), whole, m), num_gauss, 4, 20, seed)
+    choose = lambda d: cut(_chosen(d.where(F.col(key).isNotNull()), now, model, maps, key, logdet_scale, norm_type, 15, 0.025), "warps")
+    warps = choose(first)
     for _ in range(num_iters):
-        moved = apply_transform(thin.withColumn("_x", F.col("vec")), warps, maps, key)
-        model, _ = estimate(accumulate(moved, model), model)
-        moved = moved.withColumnsRenamed({"vec": "_now", "_x": "vec"})
-        warps = cut(choose_warps(moved, model, maps, key, logdet_scale, norm_type, "_now"), "warps")
+        moved = thin.join(warps.drop("score"), key, "left").select(*columns)
+        model, _ = _better(moved, lambda batches: (z for _, _, _, z in now(batches)), model)
+        last, warps = warps, choose(moved)
+        discard(last)
     return warps, maps, model

@@ -35,7 +35,7 @@ class Processor:
         signature = inspect.signature(K.KERNELS[self.name]).parameters
         if "m" in signature:
             out |= {f.name: f.default for f in fields(K.MelOptions)}
-        return out | {n: p.default for n, p in signature.items() if n not in ("x", "o", "m", "factor", "seed", "_") and p.kind is not p.VAR_KEYWORD}
+        return out | {n: p.default for n, p in signature.items() if n not in ("x", "o", "m", "factor", "seed", "spectrum", "_") and p.kind is not p.VAR_KEYWORD}
 
     def get_params(self) -> dict:
         return self.defaults() | self.params
@@ -48,7 +48,8 @@ class Processor:
         self.params |= params
         return self
 
-    def kernel(self, x: np.ndarray, rate: int, dtype: str | None, warp: float = 1.0, seed: int = 0) -> np.ndarray:
+    def kernel(self, x: np.ndarray | None, rate: int, dtype: str | None, warp: float = 1.0, seed: int = 0, spectrum: tuple | None = None) -> np.ndarray:
+        """Frames of ``x``, or of the ``spectrum`` that ``spectra`` made of it."""
         own = self.get_params()
         o = K.FrameOptions(**{f.name: own.pop(f.name) for f in fields(K.FrameOptions)})
         o = replace(o, sample_rate=rate)
@@ -58,9 +59,17 @@ class Processor:
             own["factor"] = warp
         if "seed" in signature:
             own["seed"] = seed
+        if spectrum is not None:
+            return K.KERNELS[self.name](None, o, spectrum=spectrum, **own)
         y = K.as_int16(x, dtype) if self.name in INTEGER else np.asarray(x, np.float64)
         return K.KERNELS[self.name](y, o, **own)
 
+    def spectra(self, x: np.ndarray, rate: int, dtype: str | None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(power, log energy) of the frames of ``x``, the same for all warps."""
+        own = self.get_params()
+        o = replace(K.FrameOptions(**{f.name: own[f.name] for f in fields(K.FrameOptions)}), sample_rate=rate)
+        return K.spectra(K.as_int16(x, dtype) if self.name in INTEGER else np.asarray(x, np.float64), o, seed, own["raw_energy"])
+
 
 def extract(signals: DataFrame, processor: Processor, key: str = "signal_id", warp: str | None = None, any_rate: bool = True, precision: str = "float") -> DataFrame:
     """``key, frame, t0, t1, vec`` (of ``precision``) of every signal with samples; ``warp`` names a column with its warp factor.
@@ -94,6 +103,55 @@ def extract(signals: DataFrame, processor: Processor, key: str = "signal_id", wa
     return d.mapInArrow(run, f"`{key}` {kind}, frame int, t0 double, t1 double, vec array<{precision}>")
 
 
+def packed(signals: DataFrame, processor: Processor, key: str = "signal_id", keep: tuple[str, ...] = (), every: int = 1, factors: tuple[float, ...] = ()) -> DataFrame:
+    """``key, *keep, n, thin, rest, sums`` in one pass: a row per signal with its ``n`` frames as float32 bytes, those whose number ``every`` divides in ``thin`` and the others in ``rest``.
+
+    Each task adds a row with ``sums`` alone (float64 bytes): over the thin frames, with x the frame and 1 and y the frame under each warp of ``factors``,
+    the sums of x x' and of x y', side by side. The spectrum of a frame is made once for all warps.
+    """
+    d = signals.where("samples is not null and size(samples) > 0")
+    kinds = {c: d.schema[c].dataType.simpleString() for c in (key, *keep)}
+    d = d.select(*kinds, F.xxhash64(key).alias("_s"), "sample_rate", "dtype", F.col("samples").cast("array<double>").alias("_x"))
+    k, alone = len(kinds), not processor.get_params().get("with_rasta")  # RASTA filtering goes over the frames in turn
+
+    def equations(x, ys):
+        x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+        return x.T @ np.hstack([x, *(y.astype(np.float32).astype(np.float64) for y in ys)])
+
+    def run(batches):
+        total, schema = 0.0, None
+        for b in batches:
+            lists = b.column(k + 3)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            seeds, rates, types = (b.column(k + i).to_pylist() for i in range(3))
+            rows, sizes, thin, rest, stacks = [], [], [], [], {}
+            for i in range(b.num_rows):
+                spectrum = processor.spectra(flat[at[i] : at[i + 1]], rates[i], types[i], seeds[i] & 0x7FFFFFFF)
+                n = len(spectrum[0])
+                if not n:
+                    continue
+                v = processor.kernel(None, rates[i], None, spectrum=spectrum).astype(np.float32)
+                rows.append(i), sizes.append(n)
+                thin.append(v[::every].tobytes()), rest.append(v[np.arange(n) % every > 0].tobytes())
+                if alone:
+                    stacks.setdefault(rates[i], []).append((v[::every], *(s[::every] for s in spectrum)))
+                elif factors:
+                    total = total + equations(v[::every], (processor.kernel(None, rates[i], None, f, spectrum=spectrum)[::every] for f in factors))
+            for rate, parts in stacks.items() if factors else ():
+                v, p, e = (np.concatenate(s) for s in zip(*parts))
+                for a in range(0, len(v), 4096):
+                    total = total + equations(v[a : a + 4096], (processor.kernel(None, rate, None, f, spectrum=(p[a : a + 4096], e[a : a + 4096])) for f in factors))
+            out = pa.RecordBatch.from_arrays(
+                [*(b.column(i).take(pa.array(rows, pa.int32())) for i in range(k)), pa.array(sizes, pa.int32()), pa.array(thin, pa.binary()), pa.array(rest, pa.binary()), pa.nulls(len(rows), pa.binary())], [*kinds, "n", "thin", "rest", "sums"],
+            )
+            schema = out.schema
+            yield out
+        if np.ndim(total):
+            yield pa.RecordBatch.from_pylist([{"sums": np.ascontiguousarray(total).tobytes()}], schema)
+
+    return d.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", n int, thin binary, rest binary, sums binary")
+
+
 def resampled(signals: DataFrame, rate: int, key: str = "signal_id") -> DataFrame:
     """``key, sample_rate, dtype, samples`` at another rate, by Fourier series, as many as ``int(n * rate / old)``; integers are cut towards zero."""
     kind = signals.schema[key].dataType.simpleString()

@@ -14,7 +14,7 @@ from framespark.operators import frames as X
 from framespark.operators import signals as S
 from framespark.operators.balance import balanced_join
 from framespark.operators import properties as P
-from framespark.operators.spectral import Processor, crepe_post, extract, pitch_post
+from framespark.operators.spectral import Processor, crepe_post, extract, packed, pitch_post
 from framespark.plans.cuts import cut
 
 MAIN = ("bottleneck", "filterbank", "mfcc", "plp", "spectrogram")
@@ -203,7 +203,5 @@ def _train(seg: DataFrame, p: Processor, c: dict) -> DataFrame:
     count = int(1.5 + (c["max_warp"] - c["min_warp"]) / c["warp_step"])
     factors = sorted({round(c["min_warp"] + i * c["warp_step"], 6) for i in range(count)} | {1.0})
     key = "speaker" if c["by_speaker"] else "item"
-    at = lambda f: extract(seg.withColumn("_f", F.lit(f)), p, "item", "_f")
-    warped = {f: at(f) for f in factors}
-    plain = cut(balanced_join(warped[1.0], seg.select("item", "speaker").distinct(), "item"), "plain")
-    return train_warps(plain, warped, key, c["num_gauss"], c["num_iters"], c["logdet_scale"], norm_type=c["norm_type"], subsample=c["subsample"])[0].select(key, "warp")
+    frames = cut(packed(seg, p, "item", ("speaker",), c["subsample"], tuple(factors)), "packed")
+    return train_warps(frames, tuple(factors), key, c["num_gauss"], c["num_iters"], c["logdet_scale"], norm_type=c["norm_type"], subsample=c["subsample"])[0].select(key, "warp")

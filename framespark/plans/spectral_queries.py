@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framespark.operators import mixtures as M
-from framespark.operators.spectral import Processor, extract, pitch_post, resampled
+from framespark.operators.spectral import Processor, extract, packed, pitch_post, resampled
 from framespark.plans.cuts import cut
 from framespark.plans.registry import Registry
 from framespark.sources import views
@@ -251,14 +251,12 @@ def ubm_train(spark, d):
 @R.query()
 def vtln(spark, d):
     """A warp per speaker: features of the signals under 41 warps, maps between them, mixture and warps in turn."""
-    speakers = views.utterances(spark, d).where("speaker is not null").select(F.col("name").alias("_name"), "speaker")
+    speakers = views.utterances(spark, d).where("speaker is not null").select(F.col("name").alias("_name"), "speaker").distinct()
     s = views.signals(spark, d).join(speakers, F.col("item") == F.col("_name"))
-    s = cut(s.select(F.col("signal_id").cast("string").alias("item"), "speaker", "sample_rate", "dtype", "samples"), "spoken")
+    s = s.select(F.col("signal_id").cast("string").alias("item"), "speaker", "sample_rate", "dtype", "samples")
     p = Processor("mfcc", num_ceps=5, num_bins=6, dither=0.0, vtln_low=60.0, vtln_high=-20.0)
-    at = lambda f: extract(s.withColumn("w", F.lit(f)), p, "item", "w")
-    warped = {f: at(f) for f in (round(0.85 + 0.01 * i, 6) for i in range(41))}
-    plain = cut(warped[1.0].join(s.select("item", "speaker"), "item"), "plain")
-    return M.train_warps(plain, warped, "speaker")[0].select("speaker", "warp")
+    factors = tuple(round(0.85 + 0.01 * i, 6) for i in range(41))
+    return M.train_warps(cut(packed(s, p, "item", ("speaker",), 5, factors), "packed"), factors, "speaker")[0].select("speaker", "warp")
 
 
 QUERIES, ORACLE = R.queries, R.sql
